@@ -217,7 +217,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def once(cells: DataFrame) -> DataFrame:
-    """cells (cell, id) without those whose members are exactly another cell's, and without single members."""
+    """cells (cell, id, ...) without those whose members are exactly another cell's, and without single members."""
     of = cells.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     of = of.where("n > 1").groupBy("n", "h", "lo", "hi").agg(F.min("cell").alias("cell")).select("cell")
     return cells.join(of, "cell", "left_semi")
@@ -227,35 +227,39 @@ def link_cells(cells: DataFrame, measure: Callable[[DataFrame], DataFrame], radi
     """Links (a, b) that connect all that is linked within any cell; connectivity is exact, not every link is listed.
 
     cells: (cell, id), distinct.  measure: pairs (a, b) to (a, b, dist, linked).  Every round compares the members of
-    a cell with a few pivots of it, which are done then.  With a radius, ``dist`` is a metric in which linked
-    ids are at most the radius apart, and a cell splits: a member within the radius of a pivot is at home in that
-    pivot's region, one within twice the radius is copied to it as a guest (by the triangle inequality nothing further
-    off is linked with a member at home), and members at home nowhere form the region of the rest.  Each region is a cell
-    of the next round.  Cells whose members are all connected already are dropped.  Four times as many pivots
-    are taken each round, so a cell of n takes about log n rounds.
+    a cell with a few pivots of it that are not connected with them yet; pivots are done then.  With a
+    radius, ``dist`` is a metric in which linked ids are at most the radius apart, and a cell splits: a member
+    within the radius of a pivot is at home in that pivot's region, one within twice the radius is copied to it as a
+    guest (by the triangle inequality nothing further off is linked with a member at home), and members at home
+    nowhere form the region of the rest.  Each region is a cell of the next round, if it has members of two components.
+    Pivots are not taken from a cell's largest component, and four times as many each round, so a cell takes
+    about the logarithm of its members outside that component.
     """
-    cells, pivots, links, component = save(once(cells), "cells"), 1, None, None
+    cells, pivots, links, component = save(once(cells).withColumn("c", F.col("id")), "cells"), 1, None, None
     while not is_empty(cells):
-        by = ["cell"] if pivots == 1 else ["cell", F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("slot")]
-        chosen = cells.groupBy(*by).agg(F.min("id").alias("pivot")).select("cell", "pivot")
-        pairs = save(cells.join(chosen, "cell").where("id <> pivot"), "pairs")
-        measured = save(measure(pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()), "measured")
+        if component is None:
+            chosen = cells.groupBy("cell").agg(F.min("id").alias("pivot"))
+        else:
+            main = cells.groupBy("cell", "c").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+            chosen = cells.join(main, "cell").where("c <> main").groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("slot")).agg(F.min("id").alias("pivot"))
+        chosen = save(chosen.select("cell", "pivot"), "pivots")
+        done = chosen.select("cell", F.col("pivot").alias("id"))
+        with_c = done.join(cells, ["cell", "id"]).select("cell", F.col("id").alias("pivot"), F.col("c").alias("pc"))
+        pairs = cells.join(with_c, "cell").where("c <> pc").select("cell", "id", "pivot", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+        pairs = save(pairs, "pairs")
+        measured = save(measure(pairs.select("a", "b").distinct()), "measured")
         found = measured.where("linked").select("a", "b")
         if component is None or not is_empty(found):
             links = found if links is None else links.unionByName(found)
             component = components(links)
-        open_members = cells.join(chosen.select("cell", F.col("pivot").alias("id")), ["cell", "id"], "left_anti")
-        if radius is None:
-            regions = open_members
-        else:
-            close = measured.where(F.col("dist") <= 2 * radius + 1e-9)
-            near = pairs.select("cell", "id", "pivot", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).join(close, ["a", "b"])
-            near = near.join(chosen.select("cell", F.col("pivot").alias("id")), ["cell", "id"], "left_anti")
+        regions = cells.select("cell", "id").join(done, ["cell", "id"], "left_anti")
+        if radius is not None:
+            near = pairs.join(measured.where(F.col("dist") <= 2 * radius + 1e-9).select("a", "b", "dist"), ["a", "b"]).join(done, ["cell", "id"], "left_anti")
             home = near.where(F.col("dist") <= radius + 1e-9).select("cell", "id").distinct()
-            regions = near.select(F.xxhash64("cell", "pivot").alias("cell"), "id").unionByName(open_members.join(home, ["cell", "id"], "left_anti"))
-        known = regions.join(component, "id", "left").select("cell", "id", F.coalesce("component", "id").alias("c"))
+            regions = near.select(F.xxhash64("cell", "pivot").alias("cell"), "id").unionByName(regions.join(home, ["cell", "id"], "left_anti"))
+        known = regions.distinct().join(component, "id", "left").select("cell", "id", F.coalesce("component", "id").alias("c"))
         mixed = known.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("cell")
-        cells, pivots = save(once(save(known.join(mixed, "cell", "left_semi").select("cell", "id").distinct(), "regions")), "cells"), pivots * 4
+        cells, pivots = save(once(save(known.join(mixed, "cell", "left_semi"), "regions")), "cells"), pivots * 4
     return links if links is not None else cells.select(F.col("id").alias("a"), F.col("id").alias("b"))
 
 
