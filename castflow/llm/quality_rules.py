@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from castflow.llm import common as C
+
 #: Words are runs of what is not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACES = " \t\n\u000b\f\r"
@@ -85,7 +87,8 @@ def judge(docs: DataFrame, max_docs: int = 30, max_share: float = 0.001, min_lef
     Null and empty texts have no words and fail the base rules.  A null source is the host ''.  A null doc_id
     has no removed lines.  Rows that repeat a doc_id are one document to the line rule: each counts the words removed from all.
     """
-    base = base_statistics(docs.select("doc_id", "text")).drop("text").withColumn("base_failed", base_failed())
+    # written, as a filter on these columns would be pushed below them and evaluate the window search for each element
+    base = C.save(base_statistics(docs.select("doc_id", "text")).drop("text"), "base").withColumn("base_failed", base_failed())
     gone = removed_lines(docs, max_docs, max_share).groupBy("doc_id").agg(F.sum("words").cast("long").alias("removed_words"), F.count("*").alias("removed_lines"))
     out = base.join(gone, "doc_id", "left").fillna(0, ["removed_words", "removed_lines"])
     depleted = F.col("n_words") - F.col("removed_words") < min_left * F.col("n_words")
