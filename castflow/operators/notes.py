@@ -42,7 +42,7 @@ def build_notes(content: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def _headings(markdown: Column) -> Column:
-    return F.transform(F.regexp_extract_all(markdown, F.lit(r"(?m)^## (.*)$"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(markdown, F.lit(r"(?m)^## (.*)$"), F.lit(1)), lambda x: F.trim(x))
 
 
 def missing_sections(notes: DataFrame, templates: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema("value string, template_id string").text(path, wholetext=True).where(F.col("value").rlike(form))
     head = F.regexp_extract("value", form, 1)
     field = lambda name: F.regexp_extract(head, rf"(?m)^{name}:[ ]*(.*?)\s*$", 1)
-    sections = F.filter(F.transform(F.split(F.regexp_replace(field("required_sections"), r"^\[|\]$", ""), ","), F.trim), lambda s: s != "")
+    sections = F.filter(F.transform(F.split(F.regexp_replace(field("required_sections"), r"^\[|\]$", ""), ","), lambda x: F.trim(x)), lambda s: s != "")
     return files.select("template_id", field("style").alias("style"), field("description").alias("description"), sections.alias("required_sections"), F.regexp_replace(F.regexp_extract("value", form, 2), "\n$", "").alias("body"))
 
 
