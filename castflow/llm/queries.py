@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castflow.llm import chat_format, decontaminate, huffman, line_dedup, ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, sharding
+from castflow.llm import chat_format, decontaminate, huffman, line_dedup, ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, sharding, sql
 from castflow.llm import common as C
 
 
@@ -73,7 +73,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(marked)
     path = C.scratch(spark, "chat")
     chat_format.write(rows, path, public_tokenizers.path("byte_bpe_50k.json"))
-    return chat_format.digests(spark, path)
+    return chat_format.digests(spark, path).drop("n_tokens", "loss_tokens")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": sql.QUALITY_RULES, "op9_chat_format": sql.chat_format(MARKED), "op10_secret_scan": sql.secret_scan(200)}
