@@ -134,7 +134,8 @@ def resolve_links(spark, sf_dir):
 def upsert_subscriptions(spark, sf_dir):
     docs = X.table(spark, sf_dir, "documents")
     rows = docs.select(F.col("source").alias("feed_id"), F.concat(F.lit("http://"), F.col("source")).alias("feed_url"), F.col("source").alias("title"), F.lit("link").alias("source_link"), F.timestamp_seconds("doc_id").alias("subscribed_at"))
-    snapshot = subscribe.upsert_subscriptions(rows.where("unix_seconds(subscribed_at) % 2 = 1"), rows)
+    labels = X.table(spark, sf_dir, "labels").select(F.timestamp_seconds("doc_id").alias("subscribed_at"))
+    snapshot = subscribe.upsert_subscriptions(rows.join(labels, "subscribed_at", "left_semi").select(*rows.columns), rows)
     return snapshot.select("feed_url", F.unix_seconds("subscribed_at").alias("first_doc"))
 
 
@@ -157,24 +158,24 @@ def dedupe_episodes(spark, sf_dir):
 def increment_stream(spark, sf_dir):
     drops, state, checkpoint = (scratch(spark, f"stream-{n}") for n in ("drops", "state", "checkpoint"))
     eps = X.episodes(spark, sf_dir)
-    for part in (eps.where("cast(guid as long) % 3 <> 0"), eps.where("cast(guid as long) % 3 <> 1")):
+    for part in (eps.join(X.labelled(spark, sf_dir), KEY, "left_semi"), eps):
         feeds.write_feed_docs(X.feed_docs(part), drops)
         start_increment_stream(feeds.read_feed_docs(spark, drops, stream=True), state, checkpoint).awaitTermination()
     return seen_episodes(spark, state).select(*KEY)
 
 
-@query(f"WITH {ST} SELECT feed_id, episode_id, CASE WHEN doc_id % 2 = 0 THEN zone ELSE 'pending' END AS zone, doc_id % 2 = 0 AND checked AS checked FROM st")
+@query(f"WITH {ST} SELECT feed_id, episode_id, CASE WHEN l.doc_id IS NOT NULL THEN zone ELSE 'pending' END AS zone, l.doc_id IS NOT NULL AND checked AS checked FROM st LEFT JOIN labels l USING (doc_id)")
 def add_pending(spark, sf_dir):
-    known = X.state(spark, sf_dir).where("line_no % 2 = 0")
+    known = X.state(spark, sf_dir).join(X.labelled(spark, sf_dir), KEY, "left_semi")
     return increment.add_pending(known, X.episodes(spark, sf_dir)).select(*KEY, "zone", "checked")
 
 
 # --- D, E: summaries and review -------------------------------------------------------------------
 
 
-@query(f"WITH {ST} SELECT feed_id, episode_id, zone, checked, CASE WHEN doc_id % 2 = 0 THEN {SENTENCE.format('d.text')} END AS summary FROM st JOIN documents d USING (doc_id)")
+@query(f"WITH {ST} SELECT feed_id, episode_id, zone, checked, CASE WHEN l.doc_id IS NULL THEN {SENTENCE.format('d.text')} END AS summary FROM st JOIN documents d USING (doc_id) LEFT JOIN labels l USING (doc_id)")
 def attach_summaries(spark, sf_dir):
-    some = enrich.summarize(X.episodes(spark, sf_dir).where("cast(guid as long) % 2 = 0"))
+    some = enrich.summarize(increment.new_episodes(X.episodes(spark, sf_dir), X.labelled(spark, sf_dir)))
     return review.attach_summaries(X.state(spark, sf_dir), some).select(*KEY, "zone", "checked", "summary")
 
 
@@ -327,10 +328,10 @@ def build_notes(spark, sf_dir):
     return _notes(spark, sf_dir)[0].select("episode_id", "mode", "template_id", F.md5("markdown").alias("markdown_md5"))
 
 
-@query(f"WITH {PICK} SELECT episode_id, 'Topics s' || (CAST(template_id AS BIGINT) % 3) AS section FROM pk WHERE doc_id % 2 = 0")
+@query(f"WITH {PICK} SELECT episode_id, 'Topics s' || (CAST(template_id AS BIGINT) % 3) AS section FROM pk JOIN documents USING (doc_id) WHERE n_chars < {LONG}")
 def missing_sections(spark, sf_dir):
     made, known = _notes(spark, sf_dir)
-    cut = F.when(F.col("episode_id").cast("long") % 2 == 0, F.regexp_replace("markdown", "\n## Topics[^\n]*$", "")).otherwise(F.col("markdown"))
+    cut = F.when(F.col("mode") == "skill", F.regexp_replace("markdown", "\n## Topics[^\n]*$", "")).otherwise(F.col("markdown"))
     return notes.missing_sections(made.withColumn("markdown", cut), known).select("episode_id", "section")
 
 
