@@ -10,13 +10,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
 from castflow.llm import common as C
 
-#: Words that a worker remembers at most, each with a few ids.
-MEMORY = 1_500_000
+#: Words that a worker remembers at most (about 50 bytes each), and parts of words (about 200 bytes each).
+MEMORY, PARTS = 1_000_000, 300_000
 #: Bytes of text whose words are looked up together.
 BLOCK = 4 << 20
 #: What the fast way needs to be true of the file (fixed values of the format).
@@ -62,7 +63,7 @@ class Encoder:
             and all(a["content"].startswith("<|") and not (a["lstrip"] or a["rstrip"]) for a in spec.get("added_tokens", []))
         )
         self.letters = _byte_letters()
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -72,15 +73,19 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
         self.parts.clear()
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
+            if len(self.parts) >= PARTS:
+                self.parts.clear()
             shown = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-            ids = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+            tokens = self.tokenizer.model.tokenize(shown)
+            ids = self.parts[part] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         return ids
 
-    def _words(self, words: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = []
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
         odd: list[int] = []
         known = self.parts.get
         for i, word in enumerate(words):
@@ -92,24 +97,21 @@ class Encoder:
             if ids is not None:
                 out.append(ids)
             elif _PLAIN.fullmatch(word) and "<|" not in word:
-                ids = []
-                for part in _PARTS.findall(low):
-                    ids += self._part(part)
-                out.append(ids)
+                out.append(b"".join(map(self._part, _PARTS.findall(low))))
             else:
-                out.append(None)
+                out.append(b"")
                 odd.append(i)
         if odd:
             for i, found in zip(odd, self.tokenizer.encode_batch([words[i] for i in odd], add_special_tokens=False), strict=True):
-                out[i] = found.ids
+                out[i] = struct.pack(f"<{len(found.ids)}I", *found.ids)
         return out
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         if len(self.keys) + len(keys) > MEMORY:
             self._forget()
         ids = self._words(words)
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for some in ids for x in some), np.uint32, int(count.sum()))
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
         first = len(self.ids) + np.cumsum(count) - count
         at = np.searchsorted(self.keys, keys)  # both are sorted
         self.keys, self.first, self.count = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.count, at, count)
