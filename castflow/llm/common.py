@@ -232,16 +232,17 @@ def link_cells(cells: DataFrame, measure: Callable[[DataFrame], DataFrame], radi
     within the radius of a pivot is at home in that pivot's region, one within twice the radius is copied to it as a
     guest (by the triangle inequality nothing further off is linked with a member at home), and members at home
     nowhere form the region of the rest.  Each region is a cell of the next round, if it has members of two components.
-    Pivots are not taken from a cell's largest component, and four times as many each round, so a cell takes
-    about the logarithm of its members outside that component.
+    If a component has half of a cell, pivots are taken from it and compared with the members outside alone, which
+    mostly joins these in a round or two.  Four times as many pivots are taken each round, so a cell of n takes
+    about log n rounds.
     """
     cells, pivots, links, component = save(once(cells).withColumn("c", F.col("id")), "cells"), 1, None, None
     while not is_empty(cells):
         if component is None:
             chosen = cells.groupBy("cell").agg(F.min("id").alias("pivot"))
         else:
-            main = cells.groupBy("cell", "c").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-            chosen = cells.join(main, "cell").where("c <> main").groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("slot")).agg(F.min("id").alias("pivot"))
+            main = cells.groupBy("cell", "c").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+            chosen = cells.join(main, "cell").where("c = main or 2 * most < n").groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("slot")).agg(F.min("id").alias("pivot"))
         chosen = save(chosen.select("cell", "pivot"), "pivots")
         done = chosen.select("cell", F.col("pivot").alias("id"))
         with_c = done.join(cells, ["cell", "id"]).select("cell", F.col("id").alias("pivot"), F.col("c").alias("pc"))
@@ -256,7 +257,8 @@ def link_cells(cells: DataFrame, measure: Callable[[DataFrame], DataFrame], radi
         if radius is not None:
             near = pairs.join(measured.where(F.col("dist") <= 2 * radius + 1e-9).select("a", "b", "dist"), ["a", "b"]).join(done, ["cell", "id"], "left_anti")
             home = near.where(F.col("dist") <= radius + 1e-9).select("cell", "id").distinct()
-            regions = near.select(F.xxhash64("cell", "pivot").alias("cell"), "id").unionByName(regions.join(home, ["cell", "id"], "left_anti"))
+            # a pivot's region is one cell, whatever cells its members met it in
+            regions = near.select(F.xxhash64("pivot").alias("cell"), "id").unionByName(regions.join(home, ["cell", "id"], "left_anti"))
         known = regions.distinct().join(component, "id", "left").select("cell", "id", F.coalesce("component", "id").alias("c"))
         mixed = known.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("cell")
         cells, pivots = save(once(save(known.join(mixed, "cell", "left_semi"), "regions")), "cells"), pivots * 4
