@@ -178,6 +178,37 @@ def test_line_dedup_is_exact(spark):
     assert got == want and any(lines[a] != lines[b] for a, b in links)
 
 
+def edited_lines(rng, n):
+    """Lines of 3 to 60 words, and copies of edit similarity 0.9 or more: words replaced, put in or left out, or typos up to 3 %."""
+    word = lambda: "".join(chr(97 + rng.integers(26)) for _ in range(rng.integers(2, 9)))
+    for i in range(n):
+        w = [word() for _ in range(rng.integers(3, 60))]
+        line, copy = " ".join(w), list(w)
+        if i % 2:
+            for _ in range(rng.integers(1, 4)):
+                at, other = rng.integers(len(copy)), list(copy)
+                other[at : at + 1] = [[word()], [word(), copy[at]], []][rng.integers(3)]
+                if other and distance(" ".join(other), line) * 10 <= max(len(line), len(" ".join(other))):
+                    copy = other
+            copy = " ".join(copy)
+        else:
+            copy = list(line)
+            for at in rng.choice(len(line), max(1, len(line) * 3 // 100), replace=False):
+                copy[at] = "q" if copy[at] != " " else copy[at]
+            copy = "".join(copy)
+        if copy != line and distance(copy, line) * 10 <= max(len(line), len(copy)):
+            yield line, copy
+
+
+def test_line_dedup_recalls_edits(spark):
+    """Against edit similarity alone, whatever lets lines meet."""
+    pairs = list(edited_lines(np.random.default_rng(8), 300))
+    docs = spark.createDataFrame([(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)], "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.removed_lines(docs).collect()}
+    want = {2 * i + 1 for i, p in enumerate(pairs) if min(len(p[0].split()), len(p[1].split())) >= line_dedup.MIN_WORDS}
+    assert len(want) > 150 and got <= {2 * i + 1 for i in range(len(pairs))} and len(got & want) >= 0.99 * len(want)
+
+
 def test_line_dedup_texts(spark, odd_docs):
     out = line_dedup.dedup(odd_docs)
     assert out.count() == odd_docs.count() and out.columns[: len(odd_docs.columns)] == odd_docs.columns
