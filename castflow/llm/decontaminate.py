@@ -1,11 +1,10 @@
-"""Benchmark decontamination: item-sized windows of documents that are near an item of a benchmark.
-
-Items are put into size classes, and all windows of the class's size in an item get a 64-bit SimHash of their words.
-Documents get one for their windows of each class's size, a third of it apart: an item that a document holds has
-more window places than that, so at least one window lies in the same place of the item.  Fingerprints meet
-in a multi-index of RADIUS + 1 blocks, so all within the radius are found.  Then the words at the item's place in the
-document are compared with the item exactly: weighted Jaccard similarity of their multisets of five-word
-shingles, a shingle weighing its letters.
+"""Benchmark decontamination: spans of documents that are near an item of a benchmark.
+
+A span counts if the weighted Jaccard similarity of its multiset of five-word shingles with the item's is at least
+``least``, a shingle weighing its letters.  Such a span shares shingles of at least that share of the item's weight, so an
+index of the items' shingles finds all of them: no window, fingerprint or radius decides.  Of each document and item with
+enough shared weight all spans from a shared shingle to a shared shingle are measured; others are never the best.
+An item of fewer words is one shingle and must stand there word by word.
 """
 
 from __future__ import annotations
@@ -18,20 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castflow.llm import common as C
-from castflow.llm.line_dedup import simhash
 
-RADIUS = 3
 #: Items whose index a pass over the documents holds; more items take more passes.
 MAX_ITEMS = 5000
-#: Words whose windows are hashed together.
-SEGMENT = 1 << 16
+#: Bits of a hash that a quick look-up knows.
+QUICK = 22
 #: Words are runs of letters and digits; every character beyond ASCII counts as a letter.
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def window_size(words: int) -> int:
-    """The window size of an item's class: a size of a series by 4/3, at most three quarters of the item."""
+    """The window size of an item's class: a size of a series by 4/3, at most three quarters of the item; leaks does without windows."""
     size, most = 4, max(1, words * 3 // 4)
     if most < size:
         return most
@@ -50,97 +47,99 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return C.hash_spans(data, starts, ends), rows, ends - starts
 
 
-def shingles(hashes: np.ndarray, lengths: np.ndarray, words: int) -> Counter:
-    """Shingle -> times * its letters; fewer words are one shingle."""
-    k = min(words, len(hashes))
-    out: Counter = Counter()
-    if k:
-        h, n = hashes.tolist(), lengths.tolist()
-        for i in range(len(h) - k + 1):
-            out[tuple(h[i : i + k])] += sum(n[i : i + k])
-    return out
-
-
-def weighted_jaccard(a: Counter, b: Counter) -> float:
-    both = sum(min(n, b[s]) for s, n in a.items() if s in b)
-    return both / max(1, sum(a.values()) + sum(b.values()) - both)
+def shingles(hashes: np.ndarray, lengths: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, letters, first word) of each run of k words of a row."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total, letters = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    for j in range(k):
+        total += hashes[j : n + j] * C.salt(j)
+        letters += lengths[j : n + j]
+    at = np.flatnonzero(rows[:n] == rows[k - 1 :])
+    return C.mix(total[at]), letters[at], at
 
 
 class Index:
-    """The fingerprints of some items, by size class and block."""
+    """The shingles of some items, by the words of a shingle."""
 
     def __init__(self, items: list[tuple[int, str]], shingle_words: int):
         self.items, self.classes = [], {}
         found: dict[int, list] = {}
         for item_id, text in items:
             raw = np.frombuffer(text.encode(), np.uint8)
-            hashes, _, lengths = _words(raw, np.array([0, len(raw)]))
+            hashes, rows, lengths = _words(raw, np.array([0, len(raw)]))
             if not len(hashes):
                 continue
-            size = window_size(len(hashes))
-            for at in range(len(hashes) - size + 1):
-                found.setdefault(size, []).append((simhash(hashes[at : at + size], np.array([size]))[0], len(self.items), at))
-            self.items.append((item_id, len(hashes), shingles(hashes, lengths, shingle_words)))
-        for size, rows in found.items():
-            prints = np.array([r[0] for r in rows], np.uint64)
-            blocks = []
-            for b in range(RADIUS + 1):
-                value = self.block(prints, b)
-                order = np.argsort(value, kind="stable")
-                there = np.zeros(1 << 16, bool)
-                there[value] = True
-                blocks.append((there, value[order], order))
-            self.classes[size] = (prints, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), blocks)
-
-    @staticmethod
-    def block(prints: np.ndarray, b: int) -> np.ndarray:
-        width = 64 // (RADIUS + 1)
-        return ((prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.int64)
-
-    def near(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(which print, item, place in the item) of all pairs within the radius."""
-        own, items, places, blocks = self.classes[size]
-        which, other = [], []
-        for b, (there, values, order) in enumerate(blocks):
-            value = self.block(prints, b)
-            hit = np.flatnonzero(there[value])
-            lo, hi = np.searchsorted(values, value[hit], "left"), np.searchsorted(values, value[hit], "right")
-            w = np.repeat(hit, hi - lo)
-            o = order[np.arange(int((hi - lo).sum())) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)]
-            close = np.bitwise_count(prints[w] ^ own[o]) <= RADIUS
-            which.append(w[close])
-            other.append(o[close])
-        w, o = np.concatenate(which), np.concatenate(other)
-        return w, items[o], places[o]
-
-
-def _matches(hashes: np.ndarray, rows: np.ndarray, lengths: np.ndarray, index: Index, shingle_words: int, least: float) -> dict[tuple[int, int], tuple[float, int]]:
+            k = min(shingle_words, len(hashes))
+            own: Counter = Counter()
+            for h, letters in zip(*(x.tolist() for x in shingles(hashes, lengths, rows, k)[:2]), strict=True):
+                own[h] += letters
+            found.setdefault(k, []).extend((h, len(self.items)) for h in own)
+            self.items.append((item_id, own, sum(own.values())))
+        for k, pairs in found.items():
+            values, item = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs])
+            order = np.argsort(values, kind="stable")
+            there = np.zeros(1 << QUICK, bool)
+            there[(values >> np.uint64(64 - QUICK)).astype(np.int64)] = True
+            self.classes[k] = there, values[order], item[order]
+        self.weights = np.array([w for _, _, w in self.items], np.int64)
+
+    def shared(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which hash, item) of all hashes that are a shingle of an item."""
+        there, values, item = self.classes[k]
+        hit = np.flatnonzero(there[(hashes >> np.uint64(64 - QUICK)).astype(np.int64)])
+        lo, hi = np.searchsorted(values, hashes[hit], "left"), np.searchsorted(values, hashes[hit], "right")
+        return np.repeat(hit, hi - lo), item[np.arange(int((hi - lo).sum())) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)]
+
+
+def best_span(names: list[int], letters: list[int], before: list[int], after: list[int], own: Counter, weight: int, least: float) -> tuple[float, int] | None:
+    """(similarity, which shared shingle comes first) of the best span between shared shingles of a document, the first of equals.
+
+    before and after: the letters of all the document's shingles before each shared one, and up to its end.
+    """
+    best, n = None, len(names)
+    left = np.cumsum([0, *letters]).tolist()
+    end = 0
+    for i in range(n):
+        while end < n and after[end] - before[i] <= weight / least + 1e-6:
+            end += 1
+        if left[end] - left[i] < least * weight - 1e-6:  # not even all of them are enough
+            continue
+        seen: dict[int, int] = {}
+        both = 0
+        for j in range(i, end):
+            had = seen.get(names[j], 0)
+            seen[names[j]] = had + letters[j]
+            both += min(own[names[j]], had + letters[j]) - min(own[names[j]], had)
+            similarity = both / max(1, weight + after[j] - before[i] - both)
+            if similarity >= least and (best is None or similarity > best[0]):
+                best = similarity, i
+    return best
+
+
+def _matches(hashes: np.ndarray, rows: np.ndarray, lengths: np.ndarray, index: Index, least: float) -> dict[tuple[int, int], tuple[float, int]]:
     """(row, item) -> (similarity, first word) of the best place of each item in each row."""
-    first = np.searchsorted(rows, np.arange(rows[-1] + 2)) if len(rows) else np.zeros(1, np.int64)
-    wanted: set[tuple[int, int, int]] = set()
-    widest = max(index.classes, default=0)
-    for low in range(0, len(hashes), SEGMENT):
-        some = hashes[low : low + SEGMENT + widest]
-        bits = np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        total = np.zeros((len(some) + 1, 64), np.int32)
-        np.cumsum(bits, axis=0, out=total[1:])
-        for size in index.classes:
-            at = np.arange(low % stride(size) and stride(size) - low % stride(size), min(SEGMENT, len(some) - size + 1), stride(size))
-            at = at[rows[low + at] == rows[low + at + size - 1]] if len(at) else at
-            if not len(at):
-                continue
-            prints = np.packbits(2 * (total[at + size] - total[at]) > size, axis=1).view(">u8").ravel().astype(np.uint64)
-            which, item, place = index.near(size, prints)
-            word = low + at[which] - place
-            row = rows[low + at[which]]
-            wanted |= set(zip(row.tolist(), item.tolist(), word.tolist(), strict=True))
+    first = np.searchsorted(rows, np.arange(rows[-1] + 1))
     best: dict[tuple[int, int], tuple[float, int]] = {}
-    for row, item, word in sorted(wanted):
-        _, n, own = index.items[item]
-        a, b = max(word, int(first[row])), min(word + n, int(first[row + 1]))
-        similarity = weighted_jaccard(shingles(hashes[a:b], lengths[a:b], shingle_words), own)
-        if similarity >= least and (-similarity, a) < (-best.get((row, item), (-1, 0))[0], best.get((row, item), (-1, 0))[1]):
-            best[row, item] = similarity, a - int(first[row])
+    for k in index.classes:
+        names, letters, at = shingles(hashes, lengths, rows, k)
+        total = np.concatenate([[0], np.cumsum(letters)])
+        which, item = index.shared(k, names)
+        if not len(which):
+            continue
+        row = rows[at[which]]
+        order = np.lexsort((which, item, row))
+        which, item, row = which[order], item[order], row[order]
+        start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])]))
+        stop = np.append(start[1:], len(which))
+        enough = np.add.reduceat(letters[which], start) >= least * index.weights[item[start]] - 1e-6
+        for a, b in zip(start[enough].tolist(), stop[enough].tolist(), strict=True):
+            some = which[a:b]
+            _, own, weight = index.items[item[a]]
+            found = best_span(names[some].tolist(), letters[some].tolist(), total[some].tolist(), total[some + 1].tolist(), own, weight, least)
+            if found:
+                best[int(row[a]), int(item[a])] = found[0], int(at[some[found[1]]] - first[row[a]])
     return best
 
 
@@ -165,7 +164,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, least:
             ids = batch.column("doc_id")
             for row, end, part, at in C.chunks(data, offsets):
                 hashes, of, lengths = _words(part, at)
-                best = sorted(_matches(hashes, of, lengths, index, shingle_words, least).items()) if len(hashes) else []
+                best = sorted(_matches(hashes, of, lengths, index, least).items()) if len(hashes) else []
                 if best:
                     columns = [ids.take(pa.array([row + r for (r, _), _ in best])), pa.array([index.items[i][0] for (_, i), _ in best], pa.int64()), pa.array([s for _, (s, _) in best], pa.float64()), pa.array([w for _, (_, w) in best], pa.int64())]
                     yield pa.record_batch(columns, ["doc_id", "item_id", "similarity", "start_word"])

@@ -332,6 +332,34 @@ def test_decontamination(spark, odd_docs, monkeypatch):
     assert {13, 15} == {r.doc_id for r in odd_docs.collect()} - {r.doc_id for r in kept.collect()} and kept.columns == odd_docs.columns
 
 
+def test_decontamination_finds_all_spans(spark):
+    """Edited passages against all spans of all lengths by brute force."""
+    rng = np.random.default_rng(4)
+    word = lambda: f"i{rng.integers(10**6)}k"
+    items = [[word() for _ in range(rng.integers(16, 60))] for _ in range(12)]
+    rows = []
+    for i, item in enumerate(items):
+        for kind in range(4):
+            w, at = list(item), int(rng.integers(2, len(item) - 2))
+            w[at : at + 1] = [[word()], [w[at], word()], [], [word(), word()]][kind]
+            rows.append((4 * i + kind, [word() for _ in range(rng.integers(0, 30))] + w + [word() for _ in range(rng.integers(0, 30))]))
+
+    def similarity(span, item):
+        a, b = (Counter({s: n * sum(map(len, s)) for s, n in Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)).items()}) for w in (span, item))
+        return (a & b).total() / (a | b).total()
+
+    want = {}
+    for d, w in rows:
+        item = items[d // 4]
+        best = max((similarity(w[i:j], item), -i) for i in range(len(w)) for j in range(i + len(item) // 2, min(len(w), i + 2 * len(item)) + 1))
+        if best[0] >= 0.8:
+            want[d, d // 4] = best[0], -best[1]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in decontaminate.leaks(docs, bench).collect()}
+    assert len(want) > 12 and got.keys() == want.keys() and all(abs(got[k][0] - s) < 1e-9 and got[k][1] == a for k, (s, a) in want.items())
+
+
 def test_every_contained_item_has_an_aligned_window():
     for words in range(1, 400):
         size = decontaminate.window_size(words)
