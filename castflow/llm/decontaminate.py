@@ -13,7 +13,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castflow.llm import common as C
@@ -22,11 +22,16 @@ from castflow.llm import common as C
 MAX_ITEMS = 5000
 #: Bits of a hash that a quick look-up knows.
 QUICK = 22
-#: Words are runs of letters and digits; every character beyond ASCII counts as a letter.
+#: Words are runs of letters and digits, once ``plain`` has made all other characters blanks; Han, Kana and Thai characters are words.
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+def plain(text: Column) -> Column:
+    """Lower case, runs of anything but letters, their marks and digits of any script made one blank."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")
+
+
 def window_size(words: int) -> int:
     """The window size of an item's class: a size of a series by 4/3, at most three quarters of the item; leaks does without windows."""
     size, most = 4, max(1, words * 3 // 4)
@@ -43,7 +48,7 @@ def stride(size: int) -> int:
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, length) of each word."""
-    starts, ends, rows = C.spans(data, offsets, _APART)
+    starts, ends, rows = C.word_spans(data, offsets, _APART)
     return C.hash_spans(data, starts, ends), rows, ends - starts
 
 
@@ -146,13 +151,14 @@ def _matches(hashes: np.ndarray, rows: np.ndarray, lengths: np.ndarray, index: I
 def leaks(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, item_id, similarity, start_word): the items of benchmark(item_id, text) that docs(doc_id, text) hold, at their best place.
 
-    Null and empty texts, of either table, and texts without letters or digits match nothing.  Rows without an id are
+    Words are runs of letters and digits of any script, whatever marks stand between them; each Han, Kana or Thai character is
+    a word.  Null and empty texts, of either table, and texts without letters or digits match nothing.  Rows without an id are
     left out.  Of rows that repeat an id or a pair the best place counts once.  The benchmark is read in slices of at most
     MAX_ITEMS items, each of which is compared with all documents.
     """
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text")).alias("text"))
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), plain(F.col("text")).alias("text"))
     slices = max(1, -(-items.count() // MAX_ITEMS))
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text")).alias("text"))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text"))
     found = None
     numbered = C.save(C.ranked(items, [], [F.col("item_id"), F.col("text")], "items").select("rank", "item_id", "text"), "items")
     for k in range(slices):

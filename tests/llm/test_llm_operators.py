@@ -360,6 +360,15 @@ def test_decontamination_finds_all_spans(spark):
     assert len(want) > 12 and got.keys() == want.keys() and all(abs(got[k][0] - s) < 1e-9 and got[k][1] == a for k, (s, a) in want.items())
 
 
+def test_decontamination_in_all_scripts(spark):
+    items = ["機械学習の評価用問題文は訓練に使わない", "ขอให้ทุกคนมีความสุขมากในวันนี้", "the reader’s “quoted words” — set with no break spaces here"]
+    texts = [f"前置きの文章、{items[0]}。そして続きの文章", f"บทนำ{items[1]}ต่อไป", "so “the reader's quoted\u00a0words–set with\u202fno break spaces here”—and on", "機械の文章、学習の評価ではない別の話", items[2].upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(0, 0): 1.0, (1, 1): 1.0, (2, 2): 1.0, (4, 2): 1.0}
+
+
 def test_every_contained_item_has_an_aligned_window():
     for words in range(1, 400):
         size = decontaminate.window_size(words)
