@@ -209,6 +209,15 @@ def test_line_dedup_recalls_edits(spark):
     assert len(want) > 150 and got <= {2 * i + 1 for i in range(len(pairs))} and len(got & want) >= 0.99 * len(want)
 
 
+def test_line_dedup_of_short_and_unspaced_lines(spark):
+    han = "機械学習の評価用問題文は訓練に使わないことを確認する手順"
+    thai = "ขอให้ทุกคนมีความสุขมากในวันนี้และวันต่อไป"
+    texts = [f"{han}\nRead more\n{thai}", f"{han.replace('手', '方')}\nread more!\nRead less", f"{thai}\nRead mode\n。\n。"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.pos) for r in line_dedup.removed_lines(docs).collect()} == {(1, 0), (1, 1), (2, 0)}
+    assert {(r.doc_id, r.pos) for r in line_dedup.removed_lines(docs, min_words=5).collect()} == {(1, 0), (2, 0)}
+
+
 def test_line_dedup_texts(spark, odd_docs):
     out = line_dedup.dedup(odd_docs)
     assert out.count() == odd_docs.count() and out.columns[: len(odd_docs.columns)] == odd_docs.columns
