@@ -31,3 +31,12 @@ def test_pipeline(spark):
     assert 0 < out.select("doc_id").distinct().count() < before
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(20), SMALL).columns == columns
+
+
+def test_line_stage_drops_fragments_of_copies(spark):
+    own = lambda i, n=24: " ".join(f"{chr(97 + i)}{j * 7919 % 1000}x" for j in range(n))
+    near = own(0).replace("a919x", "other")
+    texts = [f"{own(0)}\n{own(1)}", f"{own(0)}\n{own(1)}\nposted by someone", f"{near}\n{own(1)}.\nseen on monday", f"{own(0)}\n{own(2)}", "three plain words", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, SMALL).collect()}
+    assert got == {0: texts[0], 3: own(2), 4: texts[4], 5: None}
