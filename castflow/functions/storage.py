@@ -8,10 +8,21 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; in a temporary one only where that is unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as spark.checkpoint.dir or setCheckpointDir names it.
+
+    A temporary one only where none is set and all runs in this one process (tests); on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="castflow-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/castflow/{name}-{uuid.uuid4().hex}"
+    return found
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/castflow/{name}-{uuid.uuid4().hex}"

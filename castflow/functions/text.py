@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: One token for each Han character, else for each word, with the white space after it; joined, they give the text.
 TOKEN = r"\p{IsHan}\s*|[^\s\p{IsHan}]+\s*|^\s+"
+#: A token without its white space.
+WORD = r"\p{IsHan}|[^\s\p{IsHan}]+"
 
 
 def tokens(text: Column | str) -> Column:
@@ -15,7 +17,7 @@ def tokens(text: Column | str) -> Column:
 
 def words(text: Column | str) -> Column:
     """Distinct lower-case tokens without their white space."""
-    return F.array_distinct(F.filter(F.transform(tokens(F.lower(text)), lambda w: F.regexp_replace(w, r"^\s+|\s+$", "")), lambda w: w != ""))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
 def first_sentence(text: Column | str, most: int = 80) -> Column:

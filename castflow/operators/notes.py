@@ -23,10 +23,9 @@ def pick_template(transcripts: DataFrame, templates: DataFrame, scorer: Callable
     else:
         of_template = templates.select("template_id", F.explode(words(F.concat_ws(" ", "style", "description"))).alias("word"))
         of_text = transcripts.select(*KEY, F.explode(words(F.coalesce("text", F.lit("")))).alias("word"))
-        # templates are a few files; texts only keep words that some template has
-        scores = of_text.join(F.broadcast(of_template), "word").groupBy(*KEY, "template_id").agg(F.count("*").alias("score"))
+        scores = of_text.join(of_template, "word").groupBy(*KEY, "template_id").agg(F.count("*").alias("score"))
     best = scores.groupBy(*KEY).agg(F.min(F.struct((-F.col("score")).alias("minus"), "template_id")).alias("b"))
-    lowest = F.broadcast(templates.agg(F.min("template_id").alias("_lowest")))
+    lowest = F.broadcast(templates.agg(F.min("template_id").alias("_lowest")))  # one row
     out = transcripts.select(*KEY).distinct().join(best, KEY, "left").join(lowest)
     return out.select(*KEY, F.coalesce("b.template_id", "_lowest").alias("template_id"), F.coalesce(-F.col("b.minus"), F.lit(0)).cast("long").alias("score"))
 
@@ -38,7 +37,7 @@ def build_notes(content: DataFrame, templates: DataFrame) -> DataFrame:
     """
     sections = F.transform("required_sections", lambda s, i: F.concat(F.lit("## "), s, F.when(i == 0, F.concat(F.lit("\n"), F.coalesce("text", F.lit("")))).otherwise("")))
     markdown = F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce("title", F.lit(""))), F.array_join(sections, "\n"))
-    return content.join(F.broadcast(templates.select("template_id", "required_sections")), "template_id").select(*KEY, "template_id", "mode", markdown.alias("markdown"))
+    return content.join(templates.select("template_id", "required_sections"), "template_id").select(*KEY, "template_id", "mode", markdown.alias("markdown"))
 
 
 def _headings(markdown: Column) -> Column:
@@ -47,7 +46,7 @@ def _headings(markdown: Column) -> Column:
 
 def missing_sections(notes: DataFrame, templates: DataFrame) -> DataFrame:
     """(feed_id, episode_id, section): required sections without a heading in the note."""
-    need = notes.join(F.broadcast(templates.select("template_id", "required_sections")), "template_id")
+    need = notes.join(templates.select("template_id", "required_sections"), "template_id")
     return need.select(*KEY, F.explode(F.array_except("required_sections", _headings(F.coalesce("markdown", F.lit(""))))).alias("section"))
 
 
@@ -63,8 +62,9 @@ def note_sections(notes: DataFrame) -> DataFrame:
 
 
 def _with_corrections(transcripts: DataFrame, corrections: DataFrame) -> DataFrame:
-    if not corrections.where("wrong = '' or wrong is null").isEmpty():
-        raise ValueError("a correction needs a wrong word")
+    """With the pairs of each transcript, the longest first.  A correction without a wrong word fails the job when it runs."""
+    wrong = F.when(F.coalesce("wrong", F.lit("")) == "", F.raise_error(F.lit("a correction needs a wrong word"))).otherwise(F.col("wrong"))
+    corrections = corrections.withColumn("wrong", wrong)
     pairs = F.array_sort(F.collect_set(F.struct((-F.length("wrong")).alias("o"), F.col("wrong").alias("w"), F.coalesce("right", F.lit("")).alias("r"))))
     return transcripts.join(corrections.groupBy(*KEY).agg(pairs.alias("_c")), KEY, "left")
 
@@ -90,10 +90,19 @@ def correction_report(transcripts: DataFrame, corrections: DataFrame) -> DataFra
     return rows.select(*KEY, F.explode(F.aggregate("_c", zero, step, lambda s: s["done"])).alias("d")).select(*KEY, "d.*").where("hits > 0")
 
 
+#: Parts in which the queries of a word are gathered.
+QUERY_PARTS = 16
+
+
 def search_notes(notes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, feed_id, episode_id, hits, rank): the k notes with most distinct words of each query(query_id, text)."""
+    """(query_id, feed_id, episode_id, hits, rank): the k notes with most distinct words of each query(query_id, text).
+
+    Queries that ask the same word are one row of it, so a note's words are filtered by the asked ones before they meet the
+    queries, and a common word is dealt by word and note, never by word alone.
+    """
     asked = queries.select("query_id", F.explode(words("text")).alias("word"))
+    by_word = asked.groupBy(F.col("word"), F.pmod(F.xxhash64("query_id"), F.lit(QUERY_PARTS)).alias("part")).agg(F.collect_set("query_id").alias("_asked"))
     held = notes.select(*KEY, F.explode(words("markdown")).alias("word"))
-    hits = held.join(asked, "word").groupBy("query_id", *KEY).agg(F.count("*").alias("hits"))
+    hits = held.join(by_word, "word").select(*KEY, F.explode("_asked").alias("query_id")).groupBy("query_id", *KEY).agg(F.count("*").alias("hits"))
     w = Window.partitionBy("query_id").orderBy(F.desc("hits"), *KEY)
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -7,9 +7,3 @@ from pyspark.sql import DataFrame
 
 def physical_plan(df: DataFrame) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
-
-
-def has_pair_explosion(df: DataFrame) -> bool:
-    """Whether rows are paired without an equal key, but for a broadcast of one row."""
-    plan = physical_plan(df)
-    return "CartesianProduct" in plan or "BroadcastNestedLoopJoin BuildRight, Cross" in plan

@@ -199,6 +199,16 @@ def summarize(spark, sf_dir):
     return enrich.summarize(X.episodes(spark, sf_dir)).select("episode_id", "summary")
 
 
+#: A model in the queries, where its text must be sayable in SQL.
+def _model(texts: list[str]) -> list[str]:
+    return [f"{len(t)}: {t[:40]}" for t in texts]
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS episode_id, 'ok' AS status, length(text) || ': ' || substr(text, 1, 40) AS summary FROM documents")
+def summarize_with_model(spark, sf_dir):
+    return enrich.summarize(X.episodes(spark, sf_dir), _model).select("episode_id", "status", "summary")
+
+
 # --- F: downloads ------------------------------------------------------------------------------------
 
 
@@ -292,6 +302,13 @@ def map_reduce(spark, sf_dir):
     return enrich.reduce_chunks(chunks, enrich.map_chunks(chunks)).select("episode_id", "n_chunks", F.md5("document").alias("document_md5"))
 
 
+@query(f"""WITH {CHUNKS}, s AS (SELECT doc_id, chunk_no, array_to_string(p, '') AS t FROM ch), j AS (SELECT doc_id, count(*) AS n_chunks, string_agg(length(t) || ': ' || substr(t, 1, 40), chr(10) || chr(10) ORDER BY chunk_no) AS d FROM s GROUP BY doc_id)
+    SELECT CAST(doc_id AS VARCHAR) AS episode_id, n_chunks, 'ok' AS status, md5(length(d) || ': ' || substr(d, 1, 40)) AS document_md5 FROM j""")
+def map_reduce_with_model(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    return enrich.reduce_chunks(chunks, enrich.map_chunks(chunks, _model), _model).select("episode_id", "n_chunks", "status", F.md5("document").alias("document_md5"))
+
+
 @query("""WITH a AS (SELECT user_id, event_id % 10 AS chunk_no, event_type, row_number() OVER (PARTITION BY user_id, event_id % 10 ORDER BY ts, event_id) AS attempt FROM events),
     l AS (SELECT user_id, chunk_no, max(attempt) AS attempt, arg_max(event_type, attempt) AS last FROM a GROUP BY user_id, chunk_no),
     u AS (SELECT user_id, c AS chunk_no FROM (SELECT DISTINCT user_id FROM events), range(0, 11) r(c))

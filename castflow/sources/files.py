@@ -61,7 +61,8 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
 
 def write_notes(notes: DataFrame, path: str, most_rows: int = 10_000) -> None:
     """NOTES as JSON lines in one folder for each feed; only the folders of the feeds at hand are replaced."""
-    parts = notes.repartition("feed_id").write.partitionBy("feed_id").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", most_rows)
+    even = notes.hint("rebalance", "feed_id")  # large feeds are split over tasks
+    parts = even.write.partitionBy("feed_id").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", most_rows)
     parts.mode("overwrite").json(path)
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from castflow import schemas
+from castflow.functions.storage import scratch
 from castflow.operators.increment import dedupe_episodes, new_episodes
 from castflow.sources.feeds import parse_feeds
 
@@ -13,10 +16,27 @@ from castflow.sources.feeds import parse_feeds
 def seen_episodes(spark, state_path: str) -> DataFrame:
     """What the stream has found so far: EPISODES with batch_id; empty before the first batch."""
     schema = schemas.EPISODES + ", batch_id long"
-    path = spark._jvm.org.apache.hadoop.fs.Path(state_path)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    try:
+        return spark.read.schema(schema).parquet(state_path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(state_path)
+
+
+def compact_seen(spark, state_path: str) -> None:
+    """Merges the small files of all batches but the last into the folder batch_id=-1; run it while no stream writes there.
+
+    The last batch keeps its folder, as a stream may run it again.  The rows are copied to the shared folder first: if the job
+    is broken off while it writes, they are still there.
+    """
+    seen = seen_episodes(spark, state_path)
+    last = F.broadcast(seen.agg(F.max("batch_id").alias("_last")))  # one row
+    rows = seen.join(last).withColumn("batch_id", F.when(F.col("batch_id") < F.col("_last"), -1).otherwise(F.col("batch_id"))).drop("_last")
+    path = scratch(spark, "seen")
+    rows.write.parquet(path)
+    kept = spark.read.schema(rows.schema).parquet(path).hint("rebalance")
+    kept.write.partitionBy("batch_id").option("partitionOverwriteMode", "static").mode("overwrite").parquet(state_path)
 
 
 def start_increment_stream(feed_stream: DataFrame, state_path: str, checkpoint: str, **trigger) -> StreamingQuery:
