@@ -6,9 +6,9 @@ written to the shared folder that ``spark.checkpoint.dir`` names, so a lost exec
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +23,10 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is configured (tests)."""
+    """The folder that all executors share, as spark.checkpoint.dir or setCheckpointDir names it; there is no default."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="castflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found
 
 
@@ -37,9 +36,58 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and returns it as read back: lineage ends here."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    return _saved(df, scratch(df.sparkSession, name))
+
+
+def _saved(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of one run in the shared folder; what is not needed any more is emptied, the rest at the end of a with block.
+
+    A DataFrame that still reads a table must be written before the table is dropped.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._held = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[table for _, table in self._held.values()])
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self.spark, name)
+        out = _saved(df, path)
+        self._held[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for table in tables:
+            path, _ = self._held.pop(id(table), (None, None))
+            if path:
+                self.spark.range(0).write.mode("overwrite").parquet(path)  # the public way to delete a table's files
+
+
+@contextmanager
+def pruned_by_filter(spark: SparkSession) -> Iterator[None]:
+    """Within, joins with a written table that has a condition on it send Spark's own Bloom filter (at most 8 MB) to the other side's scan.
+
+    Spark decides so by itself for scans of 10 GB and more; below, a semi-join would shuffle all texts to keep a few.
+    """
+    name = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {name + "enabled": "true", name + "applicationSideScanSizeThreshold": "0", name + "creationSideThreshold": "1GB"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def is_empty(df: DataFrame) -> bool:
@@ -219,75 +267,81 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps.  Only minima are aggregated and joined back, so no
     task ever gathers the neighbours of an id; each step's edges are written to the shared folder.
     """
-    now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-
-    def state(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-
-    mark = state(now)
-    while mark[0]:
-        # stars around each id: its larger neighbours move to the least of the neighbourhood
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # then each id and its smaller neighbours move to the least of these
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = save(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        seen = state(now)
-        if seen == mark:
-            break
-        mark = seen
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-
-
-def once(cells: DataFrame) -> DataFrame:
-    """cells (cell, id, ...) without those whose members are exactly another cell's, and without single members."""
-    of = cells.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    of = of.where("n > 1").groupBy("n", "h", "lo", "hi").agg(F.min("cell").alias("cell")).select("cell")
-    return cells.join(of, "cell", "left_semi")
-
-
-def link_cells(cells: DataFrame, measure: Callable[[DataFrame], DataFrame], radius: float | None) -> DataFrame:
-    """Links (a, b) that connect all that is linked within any cell; connectivity is exact, not every link is listed.
-
-    cells: (cell, id), distinct.  measure: pairs (a, b) to (a, b, dist, linked).  Every round compares the members of
-    a cell with a few pivots of it that are not connected with them yet; pivots are done then.  With a
-    radius, ``dist`` is a metric in which linked ids are at most the radius apart, and a cell splits: a member
-    within the radius of a pivot is at home in that pivot's region, one within twice the radius is copied to it as a
-    guest (by the triangle inequality nothing further off is linked with a member at home), and members at home
-    nowhere form the region of the rest.  Each region is a cell of the next round, if it has members of two components.
-    If a component has half of a cell, pivots are taken from it and compared with the members outside alone, which
-    mostly joins these in a round or two.  Four times as many pivots are taken each round, so a cell of n takes
-    about log n rounds.
+    with Scratch(edges.sparkSession) as held:
+        now = held.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+
+        def state(df: DataFrame):
+            return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+
+        mark = state(now)
+        while mark[0]:
+            # stars around each id: its larger neighbours move to the least of the neighbourhood
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            # then each id and its smaller neighbours move to the least of these
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            before, now = now, held.save(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+            held.drop(before)
+            seen = state(now)
+            if seen == mark:
+                break
+            mark = seen
+        return save(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
+
+
+#: Times as many pivots a cell in each further round.
+MORE_PIVOTS = 16
+
+
+def link_cells(cells: DataFrame, measure: Callable[[DataFrame], DataFrame], central: str, admits: Callable[[str, str], Column], radius: float | None = None, closes: Callable[[DataFrame], DataFrame] = lambda open_: open_) -> DataFrame:
+    """Links (a, b) that connect all that is linked within any cell: connectivity is exact, not every link is listed.
+
+    cells: (cell, id, ...), distinct; its other columns are properties of an id in a cell.  measure: pairs (a, b, ca, cb) to
+    the same rows with ``dist`` and ``linked``; pairs it leaves out are not linked.  In each round a cell's most central members (the least
+    by ``central``) are pivots; members not connected with a pivot yet are compared with it, if ``admits`` (exact
+    bounds on the columns of both) allows a link.  A pivot has then met its whole cell and leaves it.  The nearest
+    pivot is a member's region: where dist is a metric in which linked ids are at most the radius apart, members of one region are compared
+    later only within the window | d(x, p) - d(y, p) | <= radius.  A cell goes on while it holds members of two
+    components (and ``closes`` keeps them), with MORE_PIVOTS times as many pivots, so a cell of n takes about log n rounds.
+    Members of a component are never compared with one another, so groups of linked members make one row a member.
     """
-    cells, pivots, links, component = save(once(cells).withColumn("c", F.col("id")), "cells"), 1, None, None
-    while not is_empty(cells):
-        if component is None:
-            chosen = cells.groupBy("cell").agg(F.min("id").alias("pivot"))
-        else:
-            main = cells.groupBy("cell", "c").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
-            chosen = cells.join(main, "cell").where("c = main or 2 * most < n").groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("slot")).agg(F.min("id").alias("pivot"))
-        chosen = save(chosen.select("cell", "pivot"), "pivots")
-        done = chosen.select("cell", F.col("pivot").alias("id"))
-        with_c = done.join(cells, ["cell", "id"]).select("cell", F.col("id").alias("pivot"), F.col("c").alias("pc"))
-        pairs = cells.join(with_c, "cell").where("c <> pc").select("cell", "id", "pivot", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        pairs = save(pairs, "pairs")
-        measured = save(measure(pairs.select("a", "b").distinct()), "measured")
-        found = measured.where("linked").select("a", "b")
-        if component is None or not is_empty(found):
-            links = found if links is None else links.unionByName(found)
-            component = components(links)
-        regions = cells.select("cell", "id").join(done, ["cell", "id"], "left_anti")
-        if radius is not None:
-            near = pairs.join(measured.where(F.col("dist") <= 2 * radius + 1e-9).select("a", "b", "dist"), ["a", "b"]).join(done, ["cell", "id"], "left_anti")
-            home = near.where(F.col("dist") <= radius + 1e-9).select("cell", "id").distinct()
-            # a pivot's region is one cell, whatever cells its members met it in
-            regions = near.select(F.xxhash64("pivot").alias("cell"), "id").unionByName(regions.join(home, ["cell", "id"], "left_anti"))
-        known = regions.distinct().join(component, "id", "left").select("cell", "id", F.coalesce("component", "id").alias("c"))
-        mixed = known.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("cell")
-        cells, pivots = save(once(save(known.join(mixed, "cell", "left_semi"), "regions")), "cells"), pivots * 4
-    return links if links is not None else cells.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    more = [c for c in cells.columns if c not in ("cell", "id")]
+    with Scratch(cells.sparkSession) as held:
+        now = held.save(cells.withColumns({"c": F.col("id"), "near": F.lit(None).cast("long"), "gap": F.lit(None).cast("double")}), "cells")
+        slots, links = 1, []
+        while not is_empty(now):
+            own = ["id", "c", "near", "gap", *more]
+            lead = F.min(F.struct(F.col(central).alias("first"), *own)).alias("p")
+            pivots = now.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(lead).select("cell", *[F.col(f"p.{c}").alias(f"p_{c}") for c in own])
+            pivots = held.save(pivots, "pivots")
+            window = (F.col("near") != F.col("p_near")) | (F.abs(F.col("gap") - F.col("p_gap")) <= (radius or 0) + 1e-9) if radius else F.lit(True)
+            pairs = now.join(pivots, "cell").where((F.col("c") != F.col("p_c")) & admits("", "p_") & F.coalesce(window, F.lit(True)))
+            swap = F.col("id") > F.col("p_id")
+            sides = {"a": F.least("id", "p_id"), "b": F.greatest("id", "p_id"), "ca": F.when(swap, F.col("p_c")).otherwise(F.col("c")), "cb": F.when(swap, F.col("c")).otherwise(F.col("p_c"))}
+            pairs = held.save(pairs.select("cell", "id", "p_id", *[x.alias(k) for k, x in sides.items()]), "pairs")
+            measured = held.save(measure(pairs.select("a", "b", "ca", "cb").distinct()), "measured")
+            found = measured.where("linked")
+            label = None
+            if not is_empty(found):
+                links.append(save(found.select("a", "b"), "links"))
+                label = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            left = now.join(pivots.select("cell", F.col("p_id").alias("id")), ["cell", "id"], "left_anti")
+            if radius:
+                dist = pairs.join(measured.where("dist is not null").select("a", "b", "dist"), ["a", "b"])
+                nearest = dist.groupBy("cell", "id").agg(F.min(F.struct("dist", "p_id")).alias("_nearest"))
+                left = left.join(nearest, ["cell", "id"], "left").withColumns({"near": F.coalesce("_nearest.p_id", "near"), "gap": F.coalesce("_nearest.dist", "gap")}).drop("_nearest")
+            if label is not None:
+                left = left.join(label.withColumnsRenamed({"id": "c", "component": "to"}), "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")
+            left = held.save(closes(left.select(*now.columns)), "left")
+            mixed = left.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("cell")
+            before, now, slots = now, held.save(left.join(mixed, "cell", "left_semi"), "cells"), slots * MORE_PIVOTS
+            held.drop(before, pivots, pairs, measured, left)
+        out = now.select(F.col("id").alias("a"), F.col("id").alias("b"))
+        for one in links:
+            out = out.unionByName(one)
+        return save(out, "links")
 
 
 # --- ranks -------------------------------------------------------------------------------------
