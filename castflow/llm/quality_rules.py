@@ -1,11 +1,11 @@
 """Quality rules: base statistics of each text, and lines that too many documents of a host share.
 
 DataFrame functions only.  Lines are normalised (lower case, runs of white space and of digits made one
-blank or 0) and hashed; a document is counted once for a line, and equal texts of a host once together.
-A line goes from all documents but the first that holds it (smallest doc_id), if more than ``max_docs``
-different texts of the host hold it, and more than ``max_share`` of them.  A document is rejected as depleted if
-the lines that stay hold less than ``min_left`` of its words.  Only counts for each host and line are
-shuffled, and hot lines are summed before they are joined back.
+blank or 0) and hashed; a document counts once for a line.  A line goes from all documents but the first that holds it (smallest
+doc_id), if more than ``max_docs`` documents of the host hold it, and more than ``max_share`` of them: a line that a
+thousandth of a large host shares is no template yet.  A document is rejected as depleted if
+the lines that stay hold less than ``min_left`` of its words; so of a page copied beyond the limits the first stays.
+Only counts for each host, line and document are shuffled, and hot lines are summed before they are joined back.
 """
 
 from __future__ import annotations
@@ -56,29 +56,37 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " "))
 
 
+def _host() -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, text_hash, pos, line_hash, words) of every line with a word."""
+    """(doc_id, host, pos, line_hash, words) of every line with a word."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    each = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    each = docs.select("doc_id", _host(), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     each = each.where(F.col("line").rlike(WORD))
-    return each.select("doc_id", "host", "text_hash", "pos", F.xxhash64(normal_line(F.col("line"))).alias("line_hash"), F.size(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("words"))
+    return each.select("doc_id", "host", "pos", F.xxhash64(normal_line(F.col("line"))).alias("line_hash"), F.size(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("words"))
 
 
 def boilerplate(docs: DataFrame, max_docs: int = 30, max_share: float = 0.001) -> DataFrame:
     """(host, line_hash, n_docs, first_doc): lines above both limits, and the document that keeps its copy."""
-    each = lines(docs)
-    texts = each.groupBy("host", "line_hash", "text_hash").agg(F.min("doc_id").alias("first_doc"))
-    counts = texts.groupBy("host", "line_hash").agg(F.count("*").alias("n_docs"), F.min("first_doc").alias("first_doc"), F.min_by("text_hash", "first_doc").alias("first_text"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hosts = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("h")).agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("host_docs"))
+    return _above(lines(docs), docs, max_docs, max_share)
+
+
+def _above(each: DataFrame, docs: DataFrame, max_docs: int, max_share: float) -> DataFrame:
+    per = each.where("doc_id is not null").groupBy("host", "line_hash", "doc_id").agg(F.lit(1)).groupBy("host", "line_hash")
+    counts = per.agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    hosts = docs.select(_host(), "doc_id").where("doc_id is not null").groupBy("host", "doc_id").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("host_docs"))
     often = counts.where(F.col("n_docs") > max_docs).join(hosts, "host").where(F.col("n_docs") > max_share * F.col("host_docs"))
-    return often.select("host", "line_hash", "n_docs", "first_doc", "first_text")
+    return often.select("host", "line_hash", "n_docs", "first_doc")
 
 
 def removed_lines(docs: DataFrame, max_docs: int = 30, max_share: float = 0.001) -> DataFrame:
-    """(doc_id, host, pos, words) of each line that goes; the document that holds it first keeps it, and so do equal texts."""
-    often = boilerplate(docs, max_docs, max_share)
-    return lines(docs).join(often, ["host", "line_hash"]).where(F.col("text_hash") != F.col("first_text")).select("doc_id", "host", "pos", "words")
+    """(doc_id, host, pos, words) of each line that goes; the document that holds it first keeps it.  Written once."""
+    with C.Scratch(docs.sparkSession) as held:
+        each = held.save(lines(docs), "lines")  # lines are cut and hashed once, then counted and joined back
+        often = held.save(_above(each, docs, max_docs, max_share), "often")  # its size is known then
+        return C.save(each.join(often, ["host", "line_hash"]).where(F.col("doc_id") != F.col("first_doc")).select("doc_id", "host", "pos", "words"), "removed")
 
 
 def judge(docs: DataFrame, max_docs: int = 30, max_share: float = 0.001, min_left: float = 0.2) -> DataFrame:
@@ -87,9 +95,13 @@ def judge(docs: DataFrame, max_docs: int = 30, max_share: float = 0.001, min_lef
     Null and empty texts have no words and fail the base rules.  A null source is the host ''.  A null doc_id
     has no removed lines.  Rows that repeat a doc_id are one document to the line rule: each counts the words removed from all.
     """
+    return _judged(docs, removed_lines(docs, max_docs, max_share), min_left)
+
+
+def _judged(docs: DataFrame, removed: DataFrame, min_left: float) -> DataFrame:
     # written, as a filter on these columns would be pushed below them and evaluate the window search for each element
     base = C.save(base_statistics(docs.select("doc_id", "text")).drop("text"), "base").withColumn("base_failed", base_failed())
-    gone = removed_lines(docs, max_docs, max_share).groupBy("doc_id").agg(F.sum("words").cast("long").alias("removed_words"), F.count("*").alias("removed_lines"))
+    gone = removed.groupBy("doc_id").agg(F.sum("words").cast("long").alias("removed_words"), F.count("*").alias("removed_lines"))
     out = base.join(gone, "doc_id", "left").fillna(0, ["removed_words", "removed_lines"])
     depleted = F.col("n_words") - F.col("removed_words") < min_left * F.col("n_words")
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
@@ -97,8 +109,9 @@ def judge(docs: DataFrame, max_docs: int = 30, max_share: float = 0.001, min_lef
 
 def clean(docs: DataFrame, max_docs: int = 30, max_share: float = 0.001, min_left: float = 0.2) -> DataFrame:
     """The documents that are kept, without the lines above the limits; all columns stay."""
-    verdict = judge(docs, max_docs, max_share, min_left).select("doc_id", "kept")
-    places = removed_lines(docs, max_docs, max_share).groupBy("doc_id").agg(F.collect_set("pos").alias("_gone"))
+    removed = removed_lines(docs, max_docs, max_share)
+    verdict = _judged(docs, removed, min_left).select("doc_id", "kept")
+    places = removed.groupBy("doc_id").agg(F.collect_set("pos").alias("_gone"))
     out = docs.join(verdict.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").join(places, "doc_id", "left")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from castflow.llm import secret_scan as S
-
 _WORD = r"[^\x20\x09-\x0D]"
 
 QUALITY_RULES = rf"""
@@ -16,10 +14,10 @@ rep AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_repeat_words FROM step GROUP
 ln AS (SELECT doc_id, host, text, line FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD}')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln GROUP BY doc_id),
 nl AS (SELECT doc_id, host, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm, len(regexp_extract_all(line, '{_WORD}+')) AS words FROM ln),
-often AS (SELECT host, norm, arg_min(text, doc_id) AS first_text, count(DISTINCT text) AS n_docs FROM nl GROUP BY host, norm),
-hosts AS (SELECT host, count(DISTINCT text) AS host_docs FROM d GROUP BY host),
+often AS (SELECT host, norm, min(doc_id) AS first_doc, count(DISTINCT doc_id) AS n_docs FROM nl GROUP BY host, norm),
+hosts AS (SELECT host, count(DISTINCT doc_id) AS host_docs FROM d GROUP BY host),
 gone AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS removed_words, count(*) AS removed_lines FROM nl JOIN often o USING (host, norm) JOIN hosts USING (host)
-    WHERE n_docs > 30 AND n_docs > 0.001 * host_docs AND nl.text <> o.first_text GROUP BY doc_id),
+    WHERE n_docs > 30 AND n_docs > 0.001 * host_docs AND nl.doc_id <> o.first_doc GROUP BY doc_id),
 b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words, coalesce(removed_lines, 0) AS removed_lines
     FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id))
@@ -40,29 +38,32 @@ FROM c GROUP BY conv_id
 """
 
 
+_SECRETS = {
+    "assign": (r"""((?i:password|passwd|secret|token|api_?key))["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""", "length(regexp_extract(hit, '{p}', 2)) >= 6"),
+    "access": (r"AKIA[A-Z0-9]+", "length(hit) >= 20"),
+    "hex": (r"[0-9a-f]+", "length(hit) >= 24"),
+    "key_part": (r"[A-Za-z0-9/+_=-]+", "length(hit) >= 32 AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT regexp_full_match(hit, '[0-9a-f]+')"),
+    "endpoint": (r"https?://[A-Za-z0-9._:/-]{4,}|[0-9]{1,3}(?:[.][0-9]{1,3}){3}(?::[0-9]{1,5})?", "true"),
+    "account": (r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:[.][A-Za-z0-9-]{1,63}){1,8}", "true"),
+}
+
+
 def secret_scan(scope: int) -> str:
-    def kind(name: str, pattern: str, keep: str = "true") -> str:
+    def kind(rank: int, name: str, pattern: str, keep: str) -> str:
         p = pattern.replace("'", "''")
-        return rf"""{name} AS (SELECT doc_id, start, {S.KINDS.index(name)} AS rank, '{name}' AS kind, start + length(hit) AS stop FROM (
+        return rf"""{name} AS (SELECT doc_id, start, {rank} AS rank, '{name}' AS kind, start + length(hit) AS stop FROM (
             SELECT doc_id, m[j] AS hit, CAST(list_sum(list_transform(list_slice(g, 1, j), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, j - 1), lambda x: length(x))), 0) AS BIGINT) AS start
-            FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM d), unnest(range(1, CAST(len(m) AS BIGINT) + 1)) AS r(j)) WHERE {keep})"""
+            FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM d), unnest(range(1, CAST(len(m) AS BIGINT) + 1)) AS r(j)) WHERE {keep.replace("{p}", p)})"""
 
-    assign = S.ASSIGN.replace("'", "''")
-    kinds = [
-        kind("assign", S.ASSIGN, f"length(regexp_extract(hit, '{assign}', 2)) >= 6"),
-        kind("access", S.ACCESS),
-        kind("hex", S.HEX),
-        kind("key_part", S.KEY_PART, "regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]')"),
-        kind("endpoint", S.ENDPOINT),
-    ]
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-{", ".join(kinds)},
-base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex),
-part AS (SELECT * FROM access UNION ALL SELECT * FROM key_part UNION ALL SELECT * FROM endpoint),
-added AS (SELECT * FROM part w WHERE kind <> 'access' AND EXISTS (SELECT 1 FROM part o WHERE o.doc_id = w.doc_id AND o.kind <> w.kind
+{", ".join(kind(i, name, *rule) for i, (name, rule) in enumerate(_SECRETS.items()))},
+part AS ({" UNION ALL ".join(f"SELECT * FROM {k}" for k in _SECRETS)}),
+need(weak, other) AS (VALUES ('key_part', 'access'), ('key_part', 'account'), ('key_part', 'endpoint'), ('endpoint', 'access'), ('endpoint', 'assign'), ('endpoint', 'hex'), ('endpoint', 'key_part'),
+    ('account', 'assign'), ('account', 'hex'), ('account', 'key_part')),
+added AS (SELECT w.* FROM part w WHERE EXISTS (SELECT 1 FROM part o JOIN need ON need.weak = w.kind AND need.other = o.kind WHERE o.doc_id = w.doc_id
     AND o.start <= w.stop + {scope} AND w.start <= o.stop + {scope} AND (o.stop <= w.start OR w.stop <= o.start))),
-every AS (SELECT * FROM base UNION ALL SELECT * FROM added),
+every AS (SELECT * FROM part WHERE rank < 3 UNION ALL SELECT * FROM added),
 per AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3), '') AS b, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS a FROM every GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN per USING (doc_id)
