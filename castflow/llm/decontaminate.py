@@ -32,20 +32,6 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")
 
 
-def window_size(words: int) -> int:
-    """The window size of an item's class: a size of a series by 4/3, at most three quarters of the item; leaks does without windows."""
-    size, most = 4, max(1, words * 3 // 4)
-    if most < size:
-        return most
-    while size + (size + 2) // 3 <= most:
-        size += (size + 2) // 3
-    return size
-
-
-def stride(size: int) -> int:
-    return max(1, size // 3)
-
-
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, length) of each word."""
     starts, ends, rows = C.word_spans(data, offsets, _APART)
