@@ -6,7 +6,6 @@ written to the shared folder that ``spark.checkpoint.dir`` names, so a lost exec
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -16,24 +15,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from castflow.functions.storage import scratch
+
 #: ASCII white space that separates words: blank and \t \n \v \f \r.
 SPACES = (9, 10, 11, 12, 13, 32)
 #: Text handled at once inside a task; a longer document is a piece of its own.
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir or setCheckpointDir names it; there is no default."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/castflow/{name}-{uuid.uuid4().hex}"
-
-
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and returns it as read back: lineage ends here."""
     return _saved(df, scratch(df.sparkSession, name))
@@ -74,12 +63,12 @@ class Scratch:
 
 @contextmanager
 def pruned_by_filter(spark: SparkSession) -> Iterator[None]:
-    """Within, joins with a written table that has a condition on it send Spark's own Bloom filter (at most 8 MB) to the other side's scan.
+    """Within, joins with a written table that has a condition on it send Spark's own Bloom filter (4 MB) to the other side's scan.
 
     Spark decides so by itself for scans of 10 GB and more; below, a semi-join would shuffle all texts to keep a few.
     """
     name = "spark.sql.optimizer.runtime.bloomFilter."
-    wanted = {name + "enabled": "true", name + "applicationSideScanSizeThreshold": "0", name + "creationSideThreshold": "1GB"}
+    wanted = {name + "enabled": "true", name + "applicationSideScanSizeThreshold": "0", name + "creationSideThreshold": "1GB", name + "expectedNumItems": "4000000", name + "numBits": str(1 << 25)}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -240,6 +229,42 @@ def distinct_in_rows(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray,
     return hashes, rows
 
 
+class Often:
+    """Counts 64-bit values a block at a time, and tells those that more than a share of the block's rows hold.
+
+    A value above the share among all rows is above it in one block at least, so ``often`` finds it from what the blocks tell, with
+    at most (values of a mean row) / share results; a value's count there is at most its true one.
+    """
+
+    SCHEMA = "value long, n long, rows long"
+    #: Values that are counted together in a task.
+    BLOCK = 1 << 22
+
+    def __init__(self, share: float):
+        self.share, self.held, self.rows = share, [], 0
+
+    def add(self, values: np.ndarray, rows: int) -> Iterator[pa.RecordBatch]:
+        self.held.append(values)
+        self.rows += rows
+        if sum(map(len, self.held)) >= self.BLOCK:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        values, count = np.unique(np.concatenate(self.held), return_counts=True)
+        often = count > max(1, self.share * self.rows)
+        yield pa.record_batch([pa.array(np.append(values[often].view(np.int64), 0)), pa.array(np.append(count[often], 0)), pa.array(np.append(np.zeros(int(often.sum()), np.int64), self.rows))], ["value", "n", "rows"])
+        self.held, self.rows = [], 0
+
+
+def often(counted: DataFrame, share: float) -> np.ndarray:
+    """The sorted values that blocks tell and whose counts come to more than the share of all rows."""
+    total = counted.agg(F.sum("rows")).first()[0] or 0
+    found = counted.where("n > 0").groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") > max(1, share * total)).select("value")
+    return np.sort(found.toArrow().column("value").to_numpy().view(np.uint64))
+
+
 def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over batches, each on its own."""
 
@@ -321,7 +346,8 @@ def link_cells(cells: DataFrame, measure: Callable[[DataFrame], DataFrame], cent
             swap = F.col("id") > F.col("p_id")
             sides = {"a": F.least("id", "p_id"), "b": F.greatest("id", "p_id"), "ca": F.when(swap, F.col("p_c")).otherwise(F.col("c")), "cb": F.when(swap, F.col("c")).otherwise(F.col("p_c"))}
             pairs = held.save(pairs.select("cell", "id", "p_id", *[x.alias(k) for k, x in sides.items()]), "pairs")
-            measured = held.save(measure(pairs.select("a", "b", "ca", "cb").distinct()), "measured")
+            asked = held.save(pairs.select("a", "b", "ca", "cb").distinct(), "asked")  # its size is known then: later rounds ask for few
+            measured = held.save(measure(asked), "measured")
             found = measured.where("linked")
             label = None
             if not is_empty(found):
@@ -337,7 +363,7 @@ def link_cells(cells: DataFrame, measure: Callable[[DataFrame], DataFrame], cent
             left = held.save(closes(left.select(*now.columns)), "left")
             mixed = left.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("cell")
             before, now, slots = now, held.save(left.join(mixed, "cell", "left_semi"), "cells"), slots * MORE_PIVOTS
-            held.drop(before, pivots, pairs, measured, left)
+            held.drop(before, pivots, pairs, asked, measured, left)
         out = now.select(F.col("id").alias("a"), F.col("id").alias("b"))
         for one in links:
             out = out.unionByName(one)
