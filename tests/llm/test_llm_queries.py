@@ -5,7 +5,9 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from castflow.llm import common
 from castflow.llm import queries as Q
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -33,6 +35,21 @@ def test_pipeline(spark):
         assert stage(spark, docs.limit(20), SMALL).columns == columns
 
 
+def test_pipeline_on_odd_tables(spark, odd_docs):
+    """All stages on nulls, repeats and clashing names, and on no rows at all; what goes, goes for its stage's reason."""
+    for docs in (odd_docs, odd_docs.limit(0)):
+        before = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.save(stage(spark, docs, SMALL), "stage")
+            assert docs.columns == odd_docs.columns and docs.count() <= before, name
+            before = docs.count()
+            if name == "near duplicates":
+                ids = {r.doc_id for r in docs.collect()}
+                assert not ids or 5 in ids and not ids & {0, 1, 2, 3, 6, 7, 8}
+        pieces = corpus_pipeline.pack(spark, docs, SMALL)
+        assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+
+
 def test_line_stage_drops_fragments_of_copies(spark):
     own = lambda i, n=24: " ".join(f"{chr(97 + i)}{j * 7919 % 1000}x" for j in range(n))
     near = own(0).replace("a919x", "other")
