@@ -316,11 +316,7 @@ def components(edges: DataFrame) -> DataFrame:
         return save(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
 
 
-#: Times as many pivots a cell in each further round.
-MORE_PIVOTS = 16
-
-
-def link_cells(cells: DataFrame, measure: Callable[[DataFrame], DataFrame], central: str, admits: Callable[[str, str], Column], radius: float | None = None, closes: Callable[[DataFrame], DataFrame] = lambda open_: open_) -> DataFrame:
+def link_cells(cells: DataFrame, measure: Callable[[DataFrame], DataFrame], central: str, admits: Callable[[str, str], Column], radius: float | None = None, closes: Callable[[DataFrame], DataFrame] = lambda open_: open_, more_pivots: int = 16) -> DataFrame:
     """Links (a, b) that connect all that is linked within any cell: connectivity is exact, not every link is listed.
 
     cells: (cell, id, ...), distinct; its other columns are properties of an id in a cell.  measure: pairs (a, b, ca, cb) to
@@ -329,8 +325,8 @@ def link_cells(cells: DataFrame, measure: Callable[[DataFrame], DataFrame], cent
     bounds on the columns of both) allows a link.  A pivot has then met its whole cell and leaves it.  The nearest
     pivot is a member's region: where dist is a metric in which linked ids are at most the radius apart, members of one region are compared
     later only within the window | d(x, p) - d(y, p) | <= radius.  A cell goes on while it holds members of two
-    components (and ``closes`` keeps them), with MORE_PIVOTS times as many pivots, so a cell of n takes about log n rounds.
-    Members of a component are never compared with one another, so groups of linked members make one row a member.
+    components (and ``closes`` keeps them), with ``more_pivots`` times as many pivots, so a cell of n takes about log n rounds.
+    Members that are known to be connected are never compared with one another, so groups of linked members make about a row a member.
     """
     more = [c for c in cells.columns if c not in ("cell", "id")]
     with Scratch(cells.sparkSession) as held:
@@ -349,21 +345,24 @@ def link_cells(cells: DataFrame, measure: Callable[[DataFrame], DataFrame], cent
             asked = held.save(pairs.select("a", "b", "ca", "cb").distinct(), "asked")  # its size is known then: later rounds ask for few
             measured = held.save(measure(asked), "measured")
             found = measured.where("linked")
-            label = None
+            label = hop = None
             if not is_empty(found):
                 links.append(save(found.select("a", "b"), "links"))
-                label = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+                # two hops towards the least label: equal labels are connected, and that is all a round needs to know
+                both = found.select(F.col("ca").alias("c"), F.col("cb").alias("to")).unionByName(found.select(F.col("cb").alias("c"), F.col("ca").alias("to")))
+                hop = held.save(both.groupBy("c").agg(F.min("to").alias("to")).select("c", F.least("c", "to").alias("to")), "labels")
+                label = hop.join(hop.select(F.col("c").alias("to"), F.col("to").alias("next")), "to", "left").select("c", F.coalesce("next", "to").alias("to"))
             left = now.join(pivots.select("cell", F.col("p_id").alias("id")), ["cell", "id"], "left_anti")
             if radius:
                 dist = pairs.join(measured.where("dist is not null").select("a", "b", "dist"), ["a", "b"])
                 nearest = dist.groupBy("cell", "id").agg(F.min(F.struct("dist", "p_id")).alias("_nearest"))
                 left = left.join(nearest, ["cell", "id"], "left").withColumns({"near": F.coalesce("_nearest.p_id", "near"), "gap": F.coalesce("_nearest.dist", "gap")}).drop("_nearest")
             if label is not None:
-                left = left.join(label.withColumnsRenamed({"id": "c", "component": "to"}), "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")
+                left = left.join(label, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")
             left = held.save(closes(left.select(*now.columns)), "left")
             mixed = left.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("cell")
-            before, now, slots = now, held.save(left.join(mixed, "cell", "left_semi"), "cells"), slots * MORE_PIVOTS
-            held.drop(before, pivots, pairs, asked, measured, left)
+            before, now, slots = now, held.save(left.join(mixed, "cell", "left_semi"), "cells"), slots * more_pivots
+            held.drop(before, pivots, pairs, asked, measured, left, hop)
         out = now.select(F.col("id").alias("a"), F.col("id").alias("b"))
         for one in links:
             out = out.unionByName(one)
