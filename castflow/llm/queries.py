@@ -86,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": sql.QUALITY_RULES, "op9_chat_format": sql.chat_format(MARKED), "op10_secret_scan": sql.secret_scan(200)}
+    return {"op1_ngram_jaccard": sql.NGRAM_JACCARD, "op3_quality_rules": sql.QUALITY_RULES, "op9_chat_format": sql.chat_format(MARKED), "op10_secret_scan": sql.secret_scan(200)}

@@ -26,6 +26,21 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
 """
 
 
+NGRAM_JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS g FROM d, unnest(range(1, greatest(2, CAST(len(w) AS BIGINT) - 2))) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS name FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+link AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(doc_id, other) AS (SELECT a, b FROM link UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other),
+least_of AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id),
+class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY name) AS class_id FROM n)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(class_id, doc_id) AS class_id, least(doc_id, coalesce(other, doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN class USING (doc_id) LEFT JOIN least_of USING (doc_id)
+"""
+
+
 def chat_format(marked: str) -> str:
     return rf"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
