@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castflow.llm import chat_format, decontaminate, huffman, line_dedup, ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, sharding, sql
+from castflow.llm import chat_format, decontaminate, fill_in_middle, hard_negatives, huffman, line_dedup, ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, sql
 from castflow.llm import common as C
 
 
@@ -35,6 +35,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "removed_lines")
 
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of equal row counts, equal texts together."""
     sharded = sharding.balanced(table(spark, sf_dir, "documents"), shards=8)
@@ -81,9 +82,26 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best rows of other labels for each anchor and positive, of the vectors with some labels moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, and the components that fingerprints within three bits make."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut at two token boundaries, with hashes of the outputs and of the texts rebuilt from them."""
+    return fill_in_middle.digests(fill_in_middle.transform(table(spark, sf_dir, "documents"), seed=1, rate=90, spm=20))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": sql.NGRAM_JACCARD, "op3_quality_rules": sql.QUALITY_RULES, "op9_chat_format": sql.chat_format(MARKED), "op10_secret_scan": sql.secret_scan(200)}
+    return {"op1_ngram_jaccard": sql.NGRAM_JACCARD, "op3_quality_rules": sql.QUALITY_RULES, "op9_chat_format": sql.chat_format(MARKED), "op10_secret_scan": sql.secret_scan(200), "op11_hard_negatives": sql.HARD_NEGATIVES, "op13_fill_in_middle": sql.FILL_IN_MIDDLE}

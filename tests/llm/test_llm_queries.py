@@ -21,8 +21,8 @@ def test_sql(spark, duck, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, found.fetchall())
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 14))
 
 
 def test_pipeline(spark):
