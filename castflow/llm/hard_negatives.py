@@ -266,7 +266,7 @@ def hard_negatives(rows: DataFrame, anchor: Column, n_positives: int = 5, n_nega
             anchors = Anchors(ids, labels, _matrix(got.column("vector").combine_chunks(), len(dims))[:, dims], np.arange(len(ids)), none + np.iinfo(np.int64).min, none + np.iinfo(np.int64).max, none, none)
             windows = positives(vectors, anchors, dims, most, n_positives, held)
             # whole numbers with low * positive <= 100 * score <= high * positive
-            lowest, highest = -(-low * windows.scores // 100), high * windows.scores // 100
+            lowest, highest = (np.array([f(s) for s in windows.scores.tolist()], np.int64) for f in (lambda s: -(-low * s // 100), lambda s: high * s // 100))
             windows = replace(windows, low=lowest, high=highest)
             pending = np.flatnonzero(lowest <= highest)
             for share in OPENING:
