@@ -30,10 +30,10 @@ def feed_docs(eps: DataFrame, per_doc: int = 100) -> DataFrame:
     return docs.select("feed_id", F.lit("2024-06-01").cast("timestamp").alias("fetched_at"), F.replace(F.to_xml(channel, {"rowTag": "rss"}), F.lit("itunes_duration>"), F.lit("itunes:duration>")).alias("xml"))
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of the documents with a label; the episodes that were seen."""
+def labelled(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Keys of the documents with a label, and more of the label; the episodes that were seen."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return docs.join(labels.select("doc_id"), "doc_id", "left_semi").select(F.col("source").alias("feed_id"), F.col("doc_id").cast("string").alias("episode_id"))
+    return docs.join(labels.select("doc_id", *more), "doc_id").select(F.col("source").alias("feed_id"), F.col("doc_id").cast("string").alias("episode_id"), *more)
 
 
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,12 +15,21 @@ THRESHOLD = 50_000
 def check_duration(segments: DataFrame, audio: DataFrame, min_ratio: float = 0.95, max_gap_ms: int | None = None) -> DataFrame:
     """(feed_id, episode_id, duration_ms, covered_ms, max_gap_ms, complete, missing, gap) for each audio.
 
-    complete: the last end is at least min_ratio of the duration.  missing: no segments, covered_ms is null.  gap: a pause of
-    more than max_gap_ms (null: never) between segments, the first one against 0.
+    covered_ms: the length of the union of the segments within the audio, so nested and overlapping ones count once and silence doesn't.
+    max_gap_ms: the longest stretch that no segment covers, also before the first and after the last.  complete: covered_ms is at least min_ratio of
+    the duration.  missing: no segments, covered_ms is null.  gap: a stretch of more than max_gap_ms (null: never).  A segment that ends
+    before it starts covers nothing; an audio without a duration is covered to its last end.
     """
-    before = F.lag("end_ms", 1, 0).over(Window.partitionBy(*KEY).orderBy("seg_no"))
-    per = segments.withColumn("_gap", F.col("start_ms") - before).groupBy(*KEY).agg(F.max("end_ms").alias("covered_ms"), F.max("_gap").alias("max_gap_ms"))
+    spans = segments.select(*KEY, "start_ms", "end_ms").join(audio.select(*KEY, "duration_ms"), KEY)
+    start, end = F.greatest("start_ms", F.lit(0)), F.least("end_ms", F.coalesce("duration_ms", "end_ms"))
+    spans = spans.select(*KEY, start.alias("s"), F.when(end > start, end).alias("e"))
+    # islands by the running maximum of the ends: a span adds what lies behind all ends before it
+    before = F.coalesce(F.max("e").over(Window.partitionBy(*KEY).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.withColumn("_before", before).withColumns({"_new": F.greatest(F.col("e") - F.greatest("s", "_before"), F.lit(0)), "_gap": F.when(F.col("e").isNotNull(), F.col("s") - F.col("_before"))})
+    per = spans.groupBy(*KEY).agg(F.coalesce(F.sum("_new"), F.lit(0)).alias("covered_ms"), F.max("_gap").alias("_gap"), F.coalesce(F.max("e"), F.lit(0)).alias("_last"))
     out = audio.select(*KEY, "duration_ms").join(per, KEY, "left")
+    longest = F.when(F.col("covered_ms").isNotNull(), F.greatest(F.col("_gap"), F.col("duration_ms") - F.col("_last"), F.lit(0)))
+    out = out.select(*KEY, "duration_ms", "covered_ms", longest.alias("max_gap_ms"))
     gap = F.coalesce(F.col("max_gap_ms") > F.lit(max_gap_ms), F.lit(False)) if max_gap_ms is not None else F.lit(False)
     return out.withColumn("complete", F.coalesce(F.col("covered_ms") >= min_ratio * F.col("duration_ms"), F.lit(False))).withColumn("missing", F.col("covered_ms").isNull()).withColumn("gap", gap)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from castflow import fixtures as X
 from castflow.functions.storage import scratch
 from castflow.operators import download, enrich, increment, notes, request_log, review, subscribe, transcripts, work
+from castflow.plans import notes_flow
 from castflow.schemas import KEY
 from castflow.sources import feeds, files, state_files
 from castflow.streaming.increment import seen_episodes, start_increment_stream
@@ -107,6 +109,39 @@ def notes_written(spark, sf_dir):
     return files.read_notes(spark, path).groupBy("feed_id").agg(F.count("*").alias("n_notes"), F.sum(F.length("markdown")).cast("long").alias("n_chars"))
 
 
+@query("""SELECT source AS feed_id, CAST(d.doc_id AS VARCHAR) AS episode_id, CASE WHEN l.doc_id IS NULL OR l.toxic = 1 THEN 'second' ELSE 'first' END AS mode,
+    md5(CASE WHEN l.doc_id IS NULL OR l.toxic = 1 THEN 'new ' ELSE '' END || text) AS markdown_md5 FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def notes_merged(spark, sf_dir):
+    """A run for the labelled documents, and one for all others and, again, for the toxic ones."""
+    path = scratch(spark, "notes")
+    made = X.transcripts(spark, sf_dir).select(*KEY, F.lit("1").alias("template_id"), F.lit("first").alias("mode"), F.col("text").alias("markdown"))
+    known = X.labelled(spark, sf_dir, "toxic")
+    files.write_notes(made.join(known, KEY).drop("toxic"), path)
+    again = made.join(known.where("toxic <> 1 or toxic is null"), KEY, "left_anti")
+    files.write_notes(again.withColumns({"mode": F.lit("second"), "markdown": F.concat(F.lit("new "), "markdown")}), path)
+    return files.read_notes(spark, path).select(*KEY, "mode", F.md5("markdown").alias("markdown_md5"))
+
+
+@query("""SELECT CAST(d.doc_id AS VARCHAR) AS episode_id, CASE WHEN l.doc_id IS NULL OR l.toxic = 1 THEN split_part(text, chr(10), 1) || '!' ELSE split_part(text, chr(10), 1) END AS title FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def metadata_merged(spark, sf_dir):
+    """As notes_merged, for metadata."""
+    path = scratch(spark, "metadata")
+    made, known = X.episodes(spark, sf_dir), X.labelled(spark, sf_dir, "toxic")
+    files.write_metadata(made.join(known.drop("toxic"), KEY, "left_semi"), path)
+    files.write_metadata(made.join(known.where("toxic <> 1 or toxic is null"), KEY, "left_anti").withColumn("title", F.concat("title", F.lit("!"))), path)
+    return files.read_metadata(spark, path).select("episode_id", "title")
+
+
+@query(f"""WITH {SEG} SELECT episode_id, seg_no, end_ms, CASE WHEN conv_id % 3 = 0 THEN md5('again ' || text) ELSE md5(text) END AS text_md5 FROM seg WHERE conv_id % 3 <> 0 OR seg_no > 0""")
+def segments_merged(spark, sf_dir):
+    """All transcripts, then a third of them anew with a segment less."""
+    path = scratch(spark, "segments")
+    first = X.segments(spark, sf_dir)
+    files.write_segments(first, path)
+    files.write_segments(first.where("cast(episode_id as long) % 3 = 0 and seg_no > 0").withColumn("text", F.concat(F.lit("again "), "text")), path)
+    return files.read_segments(spark, path).select("episode_id", "seg_no", "end_ms", F.md5("text").alias("text_md5"))
+
+
 @query("SELECT CAST(item_id AS VARCHAR) AS template_id, 's' || (item_id % 3) AS style, trim(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g')) AS description, CAST(2 AS BIGINT) AS n_sections FROM benchmark")
 def templates_read(spark, sf_dir):
     path = scratch(spark, "templates")
@@ -209,6 +244,19 @@ def summarize_with_model(spark, sf_dir):
     return enrich.summarize(X.episodes(spark, sf_dir), _model).select("episode_id", "status", "summary")
 
 
+def _picky(texts: list[str]) -> list[str]:
+    """A model that refuses a whole batch for one text of an odd number of characters divisible by 7."""
+    if any(len(t) % 14 == 7 for t in texts):
+        raise ValueError("no such text")
+    return _model(texts)
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS episode_id, CASE WHEN length(text) % 14 = 7 THEN 'ValueError: no such text' ELSE 'ok' END AS status,
+    CASE WHEN length(text) % 14 <> 7 THEN length(text) || ': ' || substr(text, 1, 40) END AS summary FROM documents""")
+def summarize_with_bad_texts(spark, sf_dir):
+    return enrich.summarize(X.episodes(spark, sf_dir), _picky).select("episode_id", "status", "summary")
+
+
 # --- F: downloads ------------------------------------------------------------------------------------
 
 
@@ -231,10 +279,14 @@ def redownload_list(spark, sf_dir):
 
 # --- G: transcripts ----------------------------------------------------------------------------------
 
+#: The union of the segments within the audio, by the running maximum of the ends; from seg and au(episode_id, duration_ms).
+UNION = """sp AS (SELECT episode_id, duration_ms, greatest(start_ms, 0) AS s, CASE WHEN least(end_ms, duration_ms) > greatest(start_ms, 0) THEN least(end_ms, duration_ms) END AS e FROM kept JOIN au USING (episode_id)),
+    bf AS (SELECT *, coalesce(max(e) OVER (PARTITION BY episode_id ORDER BY s, e NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM sp),
+    cov AS (SELECT episode_id, CAST(sum(CASE WHEN e IS NULL THEN 0 ELSE greatest(e - greatest(s, b), 0) END) AS BIGINT) AS covered_ms, max(CASE WHEN e IS NOT NULL THEN s - b END) AS g, coalesce(max(e), 0) AS last FROM bf GROUP BY episode_id),
+    ck0 AS (SELECT episode_id, covered_ms, CASE WHEN covered_ms IS NOT NULL THEN greatest(coalesce(g, 0), duration_ms - last, 0) END AS max_gap_ms, coalesce(covered_ms >= 0.95 * duration_ms, false) AS complete, covered_ms IS NULL AS missing FROM au LEFT JOIN cov USING (episode_id)),
+    ck AS (SELECT *, coalesce(max_gap_ms > 4000, false) AS gap FROM ck0)"""
 CHECK = f"""{SEG}, au AS (SELECT episode_id, conv_id, CASE WHEN conv_id % 5 = 0 THEN CAST(floor(max(end_ms) * 1.25) AS BIGINT) ELSE max(end_ms) END AS duration_ms FROM seg GROUP BY episode_id, conv_id),
-    gaps AS (SELECT episode_id, end_ms, start_ms - lag(end_ms, 1, 0) OVER (PARTITION BY episode_id ORDER BY seg_no) AS gap FROM seg WHERE conv_id % 11 <> 0),
-    cov AS (SELECT episode_id, max(end_ms) AS covered_ms, max(gap) AS max_gap_ms FROM gaps GROUP BY episode_id),
-    ck AS (SELECT episode_id, covered_ms, max_gap_ms, coalesce(covered_ms >= 0.95 * duration_ms, false) AS complete, covered_ms IS NULL AS missing, coalesce(max_gap_ms > 4000, false) AS gap FROM au LEFT JOIN cov USING (episode_id))"""
+    kept AS (SELECT * FROM seg WHERE conv_id % 11 <> 0), {UNION}"""
 
 
 def _checked(spark, sf_dir):
@@ -248,6 +300,24 @@ def check_duration(spark, sf_dir):
     return _checked(spark, sf_dir)[1].select("episode_id", "covered_ms", "max_gap_ms", "complete", "missing", "gap")
 
 
+#: Segments that lie in others, overlap, end before they start, begin before the audio or end after it; some episodes have only the last one.
+ODD = f"""{SEG}, au AS (SELECT episode_id, conv_id, max(end_ms) AS duration_ms FROM seg GROUP BY episode_id, conv_id),
+    kept AS (SELECT episode_id, CASE seg_no % 4 WHEN 0 THEN start_ms - 3000 WHEN 1 THEN end_ms ELSE start_ms END AS start_ms, CASE seg_no % 4 WHEN 0 THEN end_ms + 9000 WHEN 1 THEN start_ms WHEN 2 THEN start_ms + 500 ELSE end_ms END AS end_ms
+        FROM seg JOIN au USING (episode_id) WHERE au.conv_id % 7 <> 0 OR end_ms = duration_ms), {UNION}"""
+
+
+@query(f"WITH {ODD} SELECT * FROM ck")
+def check_duration_overlaps(spark, sf_dir):
+    segs = X.segments(spark, sf_dir)
+    odd, turn = X.segment_audio(segs).drop("duration_ms"), F.col("seg_no") % 4
+    last = segs.groupBy(*KEY).agg(F.max("end_ms").alias("duration_ms"))
+    some = segs.join(last, KEY).where("cast(episode_id as long) % 7 <> 0 or end_ms = duration_ms").drop("duration_ms")
+    start = F.when(turn == 0, F.col("start_ms") - 3000).when(turn == 1, F.col("end_ms")).otherwise(F.col("start_ms"))
+    end = F.when(turn == 0, F.col("end_ms") + 9000).when(turn == 1, F.col("start_ms")).when(turn == 2, F.col("start_ms") + 500).otherwise(F.col("end_ms"))
+    found = transcripts.check_duration(some.withColumns({"start_ms": start, "end_ms": end}), odd.join(last, KEY), 0.95, 4000)
+    return found.select("episode_id", "covered_ms", "max_gap_ms", "complete", "missing", "gap")
+
+
 @query(f"WITH {CHECK} SELECT episode_id FROM ck WHERE NOT complete")
 def transcription_worklist(spark, sf_dir):
     return work.transcription_worklist(*_checked(spark, sf_dir)).select("episode_id")
@@ -309,6 +379,44 @@ def map_reduce_with_model(spark, sf_dir):
     return enrich.reduce_chunks(chunks, enrich.map_chunks(chunks, _model), _model).select("episode_id", "n_chunks", "status", F.md5("document").alias("document_md5"))
 
 
+#: Small, so that summaries of six characters take several levels: tokens of a chunk, and of a call.
+SMALL_CHUNK, SMALL_CALL, LEVELS = 60, 16, 9
+
+
+def _brief(texts: list[str]) -> list[str]:
+    if any(len(re.findall(r"[\u3400-\u9fff]|[^\s\u3400-\u9fff]+", t)) > max(SMALL_CALL, SMALL_CHUNK) for t in texts):
+        raise ValueError("over the budget")
+    return [f"{len(t)}: {t[:6]}" for t in texts]
+
+
+def _levels_sql(source: str, chunk: int, call: int) -> str:
+    """CTEs i1 (chunk summaries) to fin(doc_id, n_levels, document), from source(doc_id, text); each level as the library groups it."""
+    part, window = call // 4, call - call // 4
+    brief = "length(text) || ': ' || substr(text, 1, 6)"
+    out = f"""t0 AS (SELECT doc_id, {TOK.format('text')} AS t FROM {source}), c0 AS (SELECT doc_id, k AS no, array_to_string(list_slice(t, k * {chunk} + 1, (k + 1) * {chunk}), '') AS text FROM t0, unnest(range(0, CAST(ceil(len(t) / {chunk}) AS BIGINT))) AS r(k)),
+    i1 AS (SELECT doc_id, no, {brief} AS text FROM c0)"""
+    for n in range(1, LEVELS + 1):
+        out += f""", t{n} AS (SELECT doc_id, no, {TOK.format('text')} AS t FROM i{n}), p{n} AS (SELECT doc_id, no, k AS piece, list_slice(t, k * {part} + 1, (k + 1) * {part}) AS p FROM t{n}, unnest(range(0, greatest(1, CAST(ceil(len(t) / {part}) AS BIGINT)))) AS r(k)),
+    w{n} AS (SELECT *, len(p) AS n, coalesce(sum(len(p)) OVER (PARTITION BY doc_id ORDER BY no, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(len(p)) OVER (PARTITION BY doc_id) AS total FROM p{n}),
+    k{n} AS (SELECT *, CASE WHEN total <= {call} THEN 0 ELSE before // {window} END AS k FROM w{n} WHERE n > 0),
+    j{n} AS (SELECT doc_id, k, string_agg(CASE WHEN rn > 1 AND piece = 0 THEN chr(10) || chr(10) ELSE '' END || array_to_string(p, ''), '' ORDER BY no, piece) AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY no, piece) AS rn FROM k{n}) GROUP BY doc_id, k),
+    g{n} AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS no, count(*) OVER (PARTITION BY doc_id) AS n_groups, {brief} AS text FROM j{n}), i{n + 1} AS (SELECT doc_id, no, text FROM g{n} WHERE n_groups > 1)"""
+    return out + ", fin AS (" + " UNION ALL ".join(f"SELECT doc_id, {n} AS n_levels, text AS document FROM g{n} WHERE n_groups = 1" for n in range(1, LEVELS + 1)) + ")"
+
+
+LEVELS_SQL = _levels_sql(f"(SELECT doc_id, text FROM documents WHERE n_chars >= {LONG})", SMALL_CHUNK, SMALL_CALL)
+
+
+@query(f"""WITH {LEVELS_SQL}, n AS (SELECT doc_id, count(*) AS n_chunks FROM c0 GROUP BY doc_id)
+    SELECT CAST(doc_id AS VARCHAR) AS episode_id, n_chunks, n_levels, 'ok' AS status, document FROM fin JOIN n USING (doc_id)""")
+def reduce_in_levels(spark, sf_dir):
+    """Chunk summaries reduced by a model that reads sixteen tokens; the second call finds all levels written."""
+    long = transcripts.decide_mode(X.transcripts(spark, sf_dir), LONG).where("mode = 'map-reduce'")
+    chunks, path = transcripts.chunk_transcripts(long, SMALL_CHUNK), scratch(spark, "levels")
+    out = enrich.reduce_levels(chunks, enrich.map_chunks(chunks, _brief), SMALL_CALL, path, _brief)
+    return out.select("episode_id", "n_chunks", "n_levels", "status", "document")
+
+
 @query("""WITH a AS (SELECT user_id, event_id % 10 AS chunk_no, event_type, row_number() OVER (PARTITION BY user_id, event_id % 10 ORDER BY ts, event_id) AS attempt FROM events),
     l AS (SELECT user_id, chunk_no, max(attempt) AS attempt, arg_max(event_type, attempt) AS last FROM a GROUP BY user_id, chunk_no),
     u AS (SELECT user_id, c AS chunk_no FROM (SELECT DISTINCT user_id FROM events), range(0, 11) r(c))
@@ -345,6 +453,18 @@ def build_notes(spark, sf_dir):
     return _notes(spark, sf_dir)[0].select("episode_id", "mode", "template_id", F.md5("markdown").alias("markdown_md5"))
 
 
+@query(f"""WITH {PICK}, {LEVELS_SQL} SELECT source AS feed_id, pk.episode_id, CASE WHEN n_chars < {LONG} THEN 'skill' ELSE 'map-reduce' END AS mode, template_id,
+    md5('# ' || split_part(text, chr(10), 1) || chr(10) || '## TL;DR' || chr(10) || coalesce(document, text) || chr(10) || '## Topics s' || (CAST(template_id AS BIGINT) % 3)) AS markdown_md5
+    FROM pk JOIN documents d USING (doc_id) LEFT JOIN fin USING (doc_id)""")
+def notes_in_two_runs(spark, sf_dir):
+    """The whole way from texts to notes for the labelled documents, then for all: the second run makes only what is pending."""
+    path, between = scratch(spark, "flow-notes"), scratch(spark, "flow-work")
+    texts, known = X.transcripts(spark, sf_dir), X.templates(spark, sf_dir)
+    for some in (texts.join(X.labelled(spark, sf_dir), KEY, "left_semi"), texts):
+        notes_flow.write_pending_notes(some, known, path, between, SMALL_CHUNK, LONG, SMALL_CALL, _brief)
+    return files.read_notes(spark, path).select(*KEY, "mode", "template_id", F.md5("markdown").alias("markdown_md5"))
+
+
 @query(f"WITH {PICK} SELECT episode_id, 'Topics s' || (CAST(template_id AS BIGINT) % 3) AS section FROM pk JOIN documents USING (doc_id) WHERE n_chars < {LONG}")
 def missing_sections(spark, sf_dir):
     made, known = _notes(spark, sf_dir)

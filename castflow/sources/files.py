@@ -6,32 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castflow import schemas
+from castflow.sources.merged import MergedTable, newest
+
+
+def metadata_table(spark: SparkSession, path: str) -> MergedTable:
+    return MergedTable(spark, path, schemas.EPISODES, schemas.KEY)
 
 
 def write_metadata(episodes: DataFrame, path: str) -> None:
-    """EPISODES as JSON lines, one folder for each feed."""
-    episodes.write.partitionBy("feed_id").mode("overwrite").json(path)
+    """Merges EPISODES into the JSON lines at the path, one folder for each feed: an episode that is there already is replaced."""
+    metadata_table(episodes.sparkSession, path).merge(newest(episodes, schemas.KEY))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.EPISODES).json(path)
+    return metadata_table(spark, path).read()
+
+
+def segments_table(spark: SparkSession, path: str, form: str = "text") -> MergedTable:
+    """An episode's segments are replaced together: a new transcript may have fewer."""
+    keyed = (lambda df: df.withColumn("episode_id", F.regexp_extract("value", r"^([^\t]*)\t", 1))) if form == "text" else (lambda df: df)
+    return MergedTable(spark, path, schemas.SEGMENTS, schemas.KEY, form, keyed)
 
 
 def write_segments(segments: DataFrame, path: str, form: str = "text") -> None:
-    """SEGMENTS, one folder for each feed: lines ``episode TAB number TAB [start-end] text``, or JSON lines."""
-    if form == "json":
-        segments.write.partitionBy("feed_id").mode("overwrite").json(path)
-        return
-    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
-    line = F.concat("episode_id", F.lit("\t"), F.col("seg_no").cast("string"), F.lit("\t["), F.col("start_ms").cast("string"), F.lit("-"), F.col("end_ms").cast("string"), F.lit("] "), text)
-    segments.select("feed_id", line.alias("value")).write.partitionBy("feed_id").mode("overwrite").text(path)
+    """Merges SEGMENTS, one folder for each feed: lines ``episode TAB number TAB [start-end] text``, or JSON lines."""
+    segments = newest(segments, [*schemas.KEY, "seg_no"])
+    if form == "text":
+        text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+        line = F.concat("episode_id", F.lit("\t"), F.col("seg_no").cast("string"), F.lit("\t["), F.col("start_ms").cast("string"), F.lit("-"), F.col("end_ms").cast("string"), F.lit("] "), text)
+        segments = segments.select("feed_id", line.alias("value"))
+    segments_table(segments.sparkSession, path, form).merge(segments, 1_000_000)
 
 
 def read_segments(spark: SparkSession, path: str, form: str = "text") -> DataFrame:
     """SEGMENTS as written; lines of another form are left out."""
+    lines = segments_table(spark, path, form).read()
     if form == "json":
-        return spark.read.schema(schemas.SEGMENTS).json(path)
-    lines = spark.read.schema("value string, feed_id string").text(path)
+        return lines
     form_ = r"^([^\t]*)\t(\d+)\t\[(\d+)-(\d+)\] (.*)$"
     part = lambda g: F.regexp_extract("value", form_, g)
     raw = F.split(part(5), r"\\\\", -1)  # pieces between escaped backslashes; the others stand before n
@@ -59,12 +70,14 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
     return files.select("template_id", field("style").alias("style"), field("description").alias("description"), sections.alias("required_sections"), F.regexp_replace(F.regexp_extract("value", form, 2), "\n$", "").alias("body"))
 
 
+def notes_table(spark: SparkSession, path: str) -> MergedTable:
+    return MergedTable(spark, path, schemas.NOTES, schemas.KEY)
+
+
 def write_notes(notes: DataFrame, path: str, most_rows: int = 10_000) -> None:
-    """NOTES as JSON lines in one folder for each feed; only the folders of the feeds at hand are replaced."""
-    even = notes.hint("rebalance", "feed_id")  # large feeds are split over tasks
-    parts = even.write.partitionBy("feed_id").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", most_rows)
-    parts.mode("overwrite").json(path)
+    """Merges NOTES into the JSON lines at the path, one folder for each feed: an episode's older note is replaced, all others stay."""
+    notes_table(notes.sparkSession, path).merge(newest(notes, schemas.KEY), most_rows)
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.NOTES).json(path)
+    return notes_table(spark, path).read()
