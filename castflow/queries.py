@@ -14,7 +14,7 @@ from castflow.operators import download, enrich, increment, notes, request_log,
 from castflow.plans import notes_flow
 from castflow.schemas import KEY
 from castflow.sources import feeds, files, state_files
-from castflow.streaming.increment import seen_episodes, start_increment_stream
+from castflow.streaming.increment import found_episodes, run_batch, seen_table, start_increment_stream
 
 #: Transcript threshold and chunk budgets of the queries; no document of the test tables is long enough for the default.
 LONG, BUDGET, SEGMENT_BUDGET = 4000, 300, 120
@@ -196,7 +196,21 @@ def increment_stream(spark, sf_dir):
     for part in (eps.join(X.labelled(spark, sf_dir), KEY, "left_semi"), eps):
         feeds.write_feed_docs(X.feed_docs(part), drops)
         start_increment_stream(feeds.read_feed_docs(spark, drops, stream=True), state, checkpoint).awaitTermination()
-    return seen_episodes(spark, state).select(*KEY)
+    return found_episodes(spark, state).select(*KEY)
+
+
+@query(f"WITH {EP} SELECT feed_id, episode_id, l.doc_id IS NULL AS late, CAST(1 AS BIGINT) AS n FROM ep LEFT JOIN labels l USING (doc_id)")
+def increment_compacted(spark, sf_dir):
+    """The labelled episodes, then all, then all again, each batch run twice and all buckets put together between them."""
+    state, eps, buckets = scratch(spark, "buckets"), X.episodes(spark, sf_dir), 4
+    docs = [X.feed_docs(part) for part in (eps.join(X.labelled(spark, sf_dir), KEY, "left_semi"), eps, eps)]
+    for batch_id, some in enumerate(docs):
+        for _ in range(2):
+            run_batch(some, batch_id, state, buckets)
+        for bucket in range(buckets):
+            seen_table(spark, state, buckets).compact(bucket)
+    keys = seen_table(spark, state, buckets).all().select(*KEY).distinct()
+    return found_episodes(spark, state).join(keys, KEY).groupBy(*KEY).agg((F.max("batch_id") > 0).alias("late"), F.count("*").alias("n"))
 
 
 @query(f"WITH {ST} SELECT feed_id, episode_id, CASE WHEN l.doc_id IS NOT NULL THEN zone ELSE 'pending' END AS zone, l.doc_id IS NOT NULL AND checked AS checked FROM st LEFT JOIN labels l USING (doc_id)")

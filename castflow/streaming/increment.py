@@ -2,54 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from castflow import schemas
-from castflow.functions.storage import scratch
-from castflow.operators.increment import dedupe_episodes, new_episodes
+from castflow.functions.storage import stored
+from castflow.operators.increment import dedupe_episodes
 from castflow.sources.feeds import parse_feeds
+from castflow.streaming.seen import SeenTable
 
 
-def seen_episodes(spark, state_path: str) -> DataFrame:
+def found_episodes(spark: SparkSession, state_path: str) -> DataFrame:
     """What the stream has found so far: EPISODES with batch_id; empty before the first batch."""
-    schema = schemas.EPISODES + ", batch_id long"
-    try:
-        return spark.read.schema(schema).parquet(state_path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return stored(spark, "parquet", schemas.EPISODES + ", batch_id long", f"{state_path.rstrip('/')}/episodes")
 
 
-def compact_seen(spark, state_path: str) -> None:
-    """Merges the small files of all batches but the last into the folder batch_id=-1; run it while no stream writes there.
+def seen_table(spark: SparkSession, state_path: str, buckets: int = 256) -> SeenTable:
+    return SeenTable(spark, f"{state_path.rstrip('/')}/seen", buckets)
 
-    The last batch keeps its folder, as a stream may run it again.  The rows are copied to the shared folder first: if the job
-    is broken off while it writes, they are still there.
-    """
-    seen = seen_episodes(spark, state_path)
-    last = F.broadcast(seen.agg(F.max("batch_id").alias("_last")))  # one row
-    rows = seen.join(last).withColumn("batch_id", F.when(F.col("batch_id") < F.col("_last"), -1).otherwise(F.col("batch_id"))).drop("_last")
-    path = scratch(spark, "seen")
-    rows.write.parquet(path)
-    kept = spark.read.schema(rows.schema).parquet(path).hint("rebalance")
-    kept.write.partitionBy("batch_id").option("partitionOverwriteMode", "static").mode("overwrite").parquet(state_path)
+
+def run_batch(docs: DataFrame, batch_id: int, state_path: str, buckets: int = 256) -> None:
+    """The new episodes of a batch of FEED_DOCS, then their keys; a batch that is run again replaces what it left."""
+    spark, seen = docs.sparkSession, seen_table(docs.sparkSession, state_path, buckets)
+    path = f"{state_path.rstrip('/')}/episodes/batch_id={batch_id}"
+    seen.new(dedupe_episodes(parse_feeds(docs)), batch_id).write.mode("overwrite").parquet(path)
+    seen.add(stored(spark, "parquet", schemas.EPISODES, path), batch_id)
 
 
-def start_increment_stream(feed_stream: DataFrame, state_path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Starts a query that appends the new episodes of each batch of FEED_DOCS under ``state_path``/batch_id=...
+def start_increment_stream(feed_stream: DataFrame, state_path: str, checkpoint: str, buckets: int = 256, **trigger) -> StreamingQuery:
+    """Starts a query that appends the new episodes of each batch of FEED_DOCS under ``state_path``/episodes/batch_id=...
 
-    All keys ever seen are kept in the table, not in stream state, as feeds repeat their history for ever.  A batch that is
-    run again replaces its own folder, and does not take its own rows for seen.
+    All keys ever seen are kept in a table by buckets of feeds (``seen.SeenTable``), not in stream state, as feeds repeat their history
+    for ever; a batch reads the buckets of its own feeds.  ``buckets`` stays the same for a path.  Buckets may be compacted while the stream runs.
     """
     trigger = trigger or {"availableNow": True}
-
-    def batch(docs: DataFrame, batch_id: int) -> None:
-        seen = seen_episodes(docs.sparkSession, state_path).where(f"batch_id <> {batch_id}")
-        fresh = new_episodes(dedupe_episodes(parse_feeds(docs)), seen)
-        fresh.write.mode("overwrite").parquet(f"{state_path.rstrip('/')}/batch_id={batch_id}")
-
+    batch = lambda docs, batch_id: run_batch(docs, batch_id, state_path, buckets)
     return feed_stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -10,7 +10,6 @@ from castflow.functions import storage
 from castflow.operators import download, enrich, increment, notes, request_log, review, subscribe, transcripts, work
 from castflow.plans.checks import physical_plan
 from castflow.sources import feeds, files, state_files
-from castflow.streaming.increment import compact_seen, seen_episodes
 
 
 def episodes(spark, rows):
@@ -159,19 +158,6 @@ def test_segments_and_metadata_files(spark, tmp_path):
     assert {(r.feed_id, r.markdown) for r in files.read_notes(spark, str(tmp_path / "notes")).collect()} == {("f", "x"), ("g", "z")}
 
 
-def test_seen_table_is_compacted(spark, tmp_path):
-    path = str(tmp_path / "seen")
-    assert seen_episodes(spark, path).count() == 0
-    rows = episodes(spark, [ep(id_=str(i)) for i in range(6)])
-    for i in range(3):
-        rows.where(f"episode_id in ('{2 * i}', '{2 * i + 1}')").write.parquet(f"{path}/batch_id={i}")
-    before = {(r.episode_id, r.title) for r in seen_episodes(spark, path).collect()}
-    for _ in range(2):
-        compact_seen(spark, path)
-        after = seen_episodes(spark, path).collect()
-        assert {(r.episode_id, r.title) for r in after} == before and len(after) == 6 and {r.batch_id for r in after} == {-1, 2}
-
-
 def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
     class Conf(dict):
         def get(self, key, default=None):
