@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,19 +14,69 @@ from castflow.functions.text import words
 from castflow.schemas import KEY
 
 
+#: The most (word, template) pairs that are sent to the tasks; of more templates than that, words are joined.
+MOST_PAIRS = 1_000_000
+#: Counters that a task holds at once.
+COUNTERS = 1 << 22
+
+
+def _joined_scores(of_text: DataFrame, of_template: DataFrame) -> DataFrame:
+    """Shared words by a join: for template tables of any size."""
+    rows = of_text.select(*KEY, F.explode("words").alias("word"))
+    return rows.join(of_template, "word").groupBy(*KEY, "template_id").agg(F.count("*").alias("score"))
+
+
+def _counted_scores(of_text: DataFrame, pairs: pa.Table) -> DataFrame:
+    """(feed_id, episode_id, template_id, score): each transcript's best template, where it shares a word with one.
+
+    The words of a batch become numbers of the templates' words at once, each number adds one to the counters of the templates that hold it; rows
+    stay one for each transcript, and nothing is shuffled.
+    """
+    ids = np.array(sorted(set(pairs.column("template_id").to_pylist())), object)
+    known = pc.unique(pairs.column("word").combine_chunks())
+    word = pc.index_in(pairs.column("word"), value_set=known).to_numpy()
+    template = np.searchsorted(ids, np.array(pairs.column("template_id").to_pylist(), object))
+    order = np.argsort(word, kind="stable")
+    holders, n = template[order], np.bincount(word, minlength=len(known))
+    first = np.cumsum(n) - n
+    step = max(1, COUNTERS // len(ids))
+
+    def best(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        place = pc.index_in(words.flatten(), value_set=known)
+        row = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+        hit = pc.is_valid(place).to_numpy(zero_copy_only=False)
+        row, place = row[hit], place.drop_null().to_numpy()
+        count = n[place]
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[place], count)
+        counters = np.bincount(np.repeat(row, count) * len(ids) + holders[at], minlength=len(words) * len(ids)).reshape(len(words), len(ids))
+        return counters.argmax(axis=1), counters.max(axis=1)  # the first of equal ones: the lowest id
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                which, score = best(some.column("words"))
+                found = pa.record_batch([some.column(0), some.column(1), pa.array(ids[which], pa.string()), pa.array(score.astype(np.int64))], [*KEY, "template_id", "score"])
+                yield found.filter(pa.array(score > 0))
+
+    return of_text.mapInArrow(run, "feed_id string, episode_id string, template_id string, score long")
+
+
 def pick_template(transcripts: DataFrame, templates: DataFrame, scorer: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """(feed_id, episode_id, template_id, score): the best template for each transcript, ties by template id.
 
     The default score counts the distinct words that a transcript shares with style and description; words of
     all templates don't tell them apart, but count.  A transcript without a match gets the lowest id and score 0.
-    scorer(transcripts, templates) gives (feed_id, episode_id, template_id, score) instead.
+    scorer(transcripts, templates) gives (feed_id, episode_id, template_id, score) instead.  The templates' words are read when this is called: up to MOST_PAIRS
+    of them go to the tasks, which then count without a shuffle; more are joined.
     """
     if scorer:
         scores = scorer(transcripts, templates)
     else:
         of_template = templates.select("template_id", F.explode(words(F.concat_ws(" ", "style", "description"))).alias("word"))
-        of_text = transcripts.select(*KEY, F.explode(words(F.coalesce("text", F.lit("")))).alias("word"))
-        scores = of_text.join(of_template, "word").groupBy(*KEY, "template_id").agg(F.count("*").alias("score"))
+        of_text = transcripts.select(*KEY, words(F.coalesce("text", F.lit(""))).alias("words"))
+        pairs = of_template.limit(MOST_PAIRS + 1).toArrow()
+        scores = _joined_scores(of_text, of_template) if pairs.num_rows > MOST_PAIRS or not pairs.num_rows else _counted_scores(of_text, pairs)
     best = scores.groupBy(*KEY).agg(F.min(F.struct((-F.col("score")).alias("minus"), "template_id")).alias("b"))
     lowest = F.broadcast(templates.agg(F.min("template_id").alias("_lowest")))  # one row
     out = transcripts.select(*KEY).distinct().join(best, KEY, "left").join(lowest)

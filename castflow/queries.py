@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from castflow import fixtures as X
 from castflow.functions.storage import scratch
-from castflow.operators import download, enrich, increment, notes, request_log, review, subscribe, transcripts, work
+from castflow.operators import download, enrich, increment, note_index, notes, request_log, review, subscribe, transcripts, work
 from castflow.plans import notes_flow
 from castflow.schemas import KEY
 from castflow.sources import feeds, files, state_files
@@ -517,15 +517,30 @@ def correction_report(spark, sf_dir):
     return notes.correction_report(X.transcripts(spark, sf_dir), _corrections(spark, sf_dir)).select("episode_id", "wrong", "hits")
 
 
-@query(f"""WITH q AS (SELECT item_id AS query_id, unnest({WORDS.format('lower(text)')}) AS word FROM benchmark), d AS (SELECT source, doc_id, unnest({WORDS.format('lower(text)')}) AS word FROM documents),
+SEARCH = f"""WITH q AS (SELECT item_id AS query_id, unnest({WORDS.format('lower(text)')}) AS word FROM benchmark), d AS (SELECT source, doc_id, unnest({WORDS.format('lower(text)')}) AS word FROM documents),
     h AS (SELECT query_id, source, CAST(doc_id AS VARCHAR) AS episode_id, count(*) AS hits FROM d JOIN q USING (word) GROUP BY ALL)
-    SELECT query_id, episode_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, source, episode_id) AS rank FROM h QUALIFY rank <= 5""")
+    SELECT query_id, episode_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, source, episode_id) AS rank FROM h QUALIFY rank <= 5"""
+
+
+@query(SEARCH)
 def search_notes(spark, sf_dir):
     made = X.transcripts(spark, sf_dir).withColumnRenamed("text", "markdown")
     asked = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return notes.search_notes(made, asked, 5).select("query_id", "episode_id", "hits", F.col("rank").cast("long").alias("rank"))
 
 
+@query(SEARCH)
+def search_index(spark, sf_dir):
+    """The same rows from a stored index: the labelled notes, some with a first text that the second batch replaces, then all."""
+    made = X.transcripts(spark, sf_dir).withColumnRenamed("text", "markdown")
+    index = note_index.NoteIndex(spark, scratch(spark, "index"), 16)
+    first = made.join(X.labelled(spark, sf_dir, "quality"), KEY)
+    index.add(first.withColumn("markdown", F.when(F.col("quality") == 1, F.col("markdown")).otherwise("an older text")))
+    index.add(made)
+    asked = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return index.search(asked, 5).select("query_id", "episode_id", "hits", F.col("rank").cast("long").alias("rank"))
+
+
 # --- J: request log -----------------------------------------------------------------------------------
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from castflow import schemas
 from castflow.fixtures import feed_docs
 from castflow.functions import scan
-from castflow.operators import request_log
+from castflow.operators import note_index, notes, request_log
 from castflow.plans.checks import physical_plan, scanned_bytes
+from castflow.schemas import KEY
 from castflow.streaming import seen
 from castflow.streaming.increment import found_episodes, run_batch, seen_table
 
@@ -125,3 +126,64 @@ def test_one_run_is_spread_evenly(spark):
     log = spark.range(40_000).select(F.lit(1).alias("run_id"), F.timestamp_micros(F.col("id") * F.col("id")).alias("ts"))
     sizes = [r.n for r in scan.in_parts(log, F.unix_micros("ts"), 16).groupBy("_part").agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 16 and max(sizes) < 1.1 * 40_000 / 16
+
+
+def test_templates_by_counters_and_by_join(spark, monkeypatch):
+    """Both ways give the same rows: ties, repeated keys, null texts, more templates than counters."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(60)] + ["播", "客"]
+    some = lambda n: " ".join(rng.choice(vocabulary[: rng.choice([5, 62])]) for _ in range(n))
+    texts = spark.createDataFrame([(f"f{i % 3}", str(i), some(rng.randrange(1, 40)), 1) for i in range(200)] + [("f0", "0", "w1 w2", 1), ("f9", "1", None, 0), ("f9", "2", "", 0), ("f9", "3", "zzz", 0)], schemas.TRANSCRIPTS)
+    known = spark.createDataFrame([(str(i), f"s{i % 2}", some(20), ["A"], "") for i in range(30)], schemas.TEMPLATES)
+    rows = lambda: sorted(tuple(r) for r in notes.pick_template(texts, known).where("episode_id <> '0'").collect())
+    counted = rows()
+    monkeypatch.setattr(notes, "COUNTERS", 90)
+    assert rows() == counted
+    monkeypatch.setattr(notes, "MOST_PAIRS", 10)
+    assert rows() == counted and len(counted) == 202 and ("f9", "3", "0", 0) in counted
+    assert notes.pick_template(texts, known.limit(0)).where("template_id is not null or score <> 0").count() == 0
+    assert notes.pick_template(texts.limit(0), known).count() == 0
+
+
+def test_a_search_reads_the_asked_words(spark, tmp_path, monkeypatch):
+    made = spark.createDataFrame([("f", str(i), f"common w{i} w{i + 1}\nx{i % 7}") for i in range(300)], "feed_id string, episode_id string, markdown string")
+    index = note_index.NoteIndex(spark, str(tmp_path / "index"), 32)
+    asked = spark.createDataFrame([(1, "w7 W8 common"), (2, "x3"), (3, "none"), (4, "")], "query_id long, text string")
+    assert index.search(asked, 3).count() == 0
+    index.add(made.where("cast(episode_id as int) < 100"))
+    index.add(made)
+    index.add(made.where("episode_id = '7'").withColumn("markdown", F.lit("quite other words")))
+    index.add(made.where("episode_id <> '7'"))  # nothing new
+    now = made.withColumn("markdown", F.when(F.col("episode_id") == "7", "quite other words").otherwise(F.col("markdown")))
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", *KEY, "hits", "rank").collect())
+    assert rows(index.search(asked, 3)) == rows(notes.search_notes(now, asked, 3)) != []
+    one = spark.createDataFrame([("w250",)], "word string")
+    everything = spark.createDataFrame([(f"w{i}",) for i in range(300)], "word string")
+    assert scanned_bytes(index.postings(one)) < scanned_bytes(index.postings(everything)) / 8
+    plan = physical_plan(index.postings(one))
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "word" in plan.split("PushedFilters: [")[1].split("]")[0]
+    monkeypatch.setattr(note_index, "NAMED_WORDS", 1)
+    assert rows(index.search(asked, 3)) == rows(notes.search_notes(now, asked, 3))
+
+
+def test_a_batch_of_the_index_that_is_broken_off(spark, tmp_path, monkeypatch):
+    made = spark.createDataFrame([("f", "1", "a b"), ("f", "2", "b c")], "feed_id string, episode_id string, markdown string")
+    asked = spark.createDataFrame([(1, "b")], "query_id long, text string")
+    index = note_index.NoteIndex(spark, str(tmp_path / "index"), 2)
+    index.add(made.limit(1))
+    found = {r.episode_id for r in index.search(asked, 9).collect()}
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    broken = made.withColumn("markdown", F.concat("markdown", F.lit(" zz yy xx ww")))
+    with monkeypatch.context() as m:
+        m.setattr(note_index.Staged, "__exit__", lambda *_: None)
+        m.setattr(note_index.NoteIndex, "_list", stop)  # after the words, before the list of notes
+        with pytest.raises(KeyboardInterrupt):
+            index.add(broken)
+    assert {r.episode_id for r in index.search(asked, 9).collect()} == found and len(found) == 1
+    index.add(made)
+    assert sorted((r.episode_id, r.hits) for r in index.search(asked, 9).collect()) == [("1", 1), ("2", 1)]
+    stale = spark.createDataFrame([(1, "zz yy xx ww")], "query_id long, text string")
+    assert index.search(stale, 9).count() == 0  # though some rows of the broken batch may stand under the same number
