@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,20 @@ def feed_docs(eps: DataFrame, per_doc: int = 100) -> DataFrame:
     return docs.select("feed_id", F.lit("2024-06-01").cast("timestamp").alias("fetched_at"), F.replace(F.to_xml(channel, {"rowTag": "rss"}), F.lit("itunes_duration>"), F.lit("itunes:duration>")).alias("xml"))
 
 
+def feed_bytes(docs: DataFrame) -> DataFrame:
+    """FEED_DOCS as bytes: a third each in UTF-8, UTF-16 and GB 18030; where the source number is divisible by 5 an item is cut off at the end."""
+    number = F.substring("feed_id", 4, 10).cast("int")
+    cut = F.when(number % 5 == 0, F.regexp_replace("xml", r"</channel>\s*</rss>\s*$", "<item><guid>cut</guid><title>of")).otherwise(F.col("xml"))
+    rows = docs.select("feed_id", "fetched_at", cut.alias("xml"), F.element_at(F.array(*map(F.lit, ("utf-8", "utf-16", "gb18030"))), number % 3 + 1).alias("name"))
+
+    def run(batches):
+        for batch in batches:
+            made = [f'<?xml version="1.0" encoding="{n.as_py()}"?>\n{x.as_py()}'.encode(n.as_py()) for x, n in zip(batch.column("xml"), batch.column("name"), strict=True)]
+            yield pa.record_batch([batch.column("feed_id"), batch.column("fetched_at"), pa.array(made, pa.binary())], ["feed_id", "fetched_at", "content"])
+
+    return rows.mapInArrow(run, "feed_id string, fetched_at timestamp, content binary")
+
+
 def labelled(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Keys of the documents with a label, and more of the label; the episodes that were seen."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

@@ -13,7 +13,7 @@ from castflow.functions.storage import scratch
 from castflow.operators import download, enrich, increment, note_index, notes, request_log, review, subscribe, transcripts, work
 from castflow.plans import notes_flow
 from castflow.schemas import KEY
-from castflow.sources import feeds, files, state_files
+from castflow.sources import feed_items, feeds, files, state_files
 from castflow.streaming.increment import found_episodes, run_batch, seen_table, start_increment_stream
 
 #: Transcript threshold and chunk budgets of the queries; no document of the test tables is long enough for the default.
@@ -79,6 +79,18 @@ def rejected_feeds(spark, sf_dir):
     return feeds.rejected_feeds(cut).select("feed_id").distinct()
 
 
+@query(f"WITH {EP} SELECT feed_id, episode_id, title, enclosure_url, CAST(length(description) AS BIGINT) AS n_chars FROM ep")
+def parse_foreign_feeds(spark, sf_dir):
+    """Documents as bytes in three encodings, some with a broken tail: all whole items."""
+    found = feed_items.parse_feed_bytes(X.feed_bytes(X.feed_docs(X.episodes(spark, sf_dir))))
+    return found.select(*KEY, "title", "enclosure_url", F.length("description").cast("long").alias("n_chars"))
+
+
+@query("SELECT DISTINCT source AS feed_id FROM documents WHERE CAST(substr(source, 4) AS INTEGER) % 5 = 0")
+def broken_feeds(spark, sf_dir):
+    return feed_items.broken_feeds(X.feed_bytes(X.feed_docs(X.episodes(spark, sf_dir)))).select("feed_id").distinct()
+
+
 @query(f"WITH {EP} SELECT episode_id, enclosure_url FROM ep")
 def metadata_json(spark, sf_dir):
     path = scratch(spark, "metadata")

@@ -32,17 +32,26 @@ def _parsed(feed_docs: DataFrame, most_chars: int | None) -> DataFrame:
     return feed_docs.withColumn("rss", F.from_xml(xml, RSS, {"rowTag": "rss"}))
 
 
-def parse_feeds(feed_docs: DataFrame, most_chars: int | None = None) -> DataFrame:
-    """EPISODES, one row for each item of the readable documents; a document of more than most_chars is rejected."""
-    item = _parsed(feed_docs, most_chars).select("feed_id", F.explode("rss.channel.item").alias("i"))
-    day = F.regexp_replace("i.pubDate", "^[A-Za-z]{3}, ", "")
-    parts = F.transform(F.reverse(F.split("i.`itunes:duration`", ":")), lambda p, k: p.try_cast("int") * F.element_at(F.array(F.lit(1), F.lit(60), F.lit(3600)), k + 1))
-    seconds = F.when(F.size(F.split("i.`itunes:duration`", ":")) <= 3, F.aggregate(parts, F.lit(0), lambda a, x: a + x))
-    out = item.select("feed_id", F.col("i.guid").alias("guid"), F.col("i.title").alias("title"), F.col("i.description").alias("description"), F.try_to_timestamp(day, F.lit("dd MMM yyyy HH:mm:ss Z")).alias("pub_date"), seconds.alias("duration_s"), F.col("i.enclosure._url").alias("enclosure_url"))
+def episodes_of(items: DataFrame) -> DataFrame:
+    """EPISODES of items(feed_id, guid, title, description, pubDate, itunes:duration, url) as the feeds write them."""
+    day = F.regexp_replace("pubDate", "^[A-Za-z]{3}, ", "")
+    clock = F.split("`itunes:duration`", ":")
+    parts = F.transform(F.reverse(clock), lambda p, k: p.try_cast("int") * F.element_at(F.array(F.lit(1), F.lit(60), F.lit(3600)), k + 1))
+    seconds = F.when(F.size(clock) <= 3, F.aggregate(parts, F.lit(0), lambda a, x: a + x))
+    out = items.select("feed_id", "guid", "title", "description", F.try_to_timestamp(day, F.lit("dd MMM yyyy HH:mm:ss Z")).alias("pub_date"), seconds.alias("duration_s"), F.col("url").alias("enclosure_url"))
     named = out.withColumn("episode_id", episode_id(F.col("guid"), F.col("enclosure_url"), F.col("title"), F.col("pub_date")))
     return named.select("feed_id", "episode_id", "guid", "title", "description", "pub_date", "duration_s", "enclosure_url")
 
 
+def parse_feeds(feed_docs: DataFrame, most_chars: int | None = None) -> DataFrame:
+    """EPISODES, one row for each item of the readable documents; a document of more than most_chars is rejected.
+
+    For documents as bytes, of other encodings, very long or broken ones, see ``feed_items``.
+    """
+    item = _parsed(feed_docs, most_chars).select("feed_id", F.explode("rss.channel.item").alias("i"))
+    return episodes_of(item.select("feed_id", "i.guid", "i.title", "i.description", "i.pubDate", "i.`itunes:duration`", F.col("i.enclosure._url").alias("url")))
+
+
 def rejected_feeds(feed_docs: DataFrame, most_chars: int | None = None) -> DataFrame:
     """The documents without a readable channel: malformed, cut off, empty, too long, or no feed at all."""
     return _parsed(feed_docs, most_chars).where("rss.channel is null").select(*feed_docs.columns)
