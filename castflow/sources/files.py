@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castflow import schemas
-from castflow.sources.merged import MergedTable, newest
+from castflow.sources.merged import MergedTable
 
 
 def metadata_table(spark: SparkSession, path: str) -> MergedTable:
@@ -15,7 +15,7 @@ def metadata_table(spark: SparkSession, path: str) -> MergedTable:
 
 def write_metadata(episodes: DataFrame, path: str) -> None:
     """Merges EPISODES into the JSON lines at the path, one folder for each feed: an episode that is there already is replaced."""
-    metadata_table(episodes.sparkSession, path).merge(newest(episodes, schemas.KEY))
+    metadata_table(episodes.sparkSession, path).merge(episodes)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -25,12 +25,12 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 def segments_table(spark: SparkSession, path: str, form: str = "text") -> MergedTable:
     """An episode's segments are replaced together: a new transcript may have fewer."""
     keyed = (lambda df: df.withColumn("episode_id", F.regexp_extract("value", r"^([^\t]*)\t", 1))) if form == "text" else (lambda df: df)
-    return MergedTable(spark, path, schemas.SEGMENTS, schemas.KEY, form, keyed)
+    unique = ["feed_id", F.regexp_extract("value", r"^[^\t]*\t\d+", 0)] if form == "text" else [*schemas.KEY, "seg_no"]
+    return MergedTable(spark, path, schemas.SEGMENTS, schemas.KEY, form, keyed, unique)
 
 
 def write_segments(segments: DataFrame, path: str, form: str = "text") -> None:
     """Merges SEGMENTS, one folder for each feed: lines ``episode TAB number TAB [start-end] text``, or JSON lines."""
-    segments = newest(segments, [*schemas.KEY, "seg_no"])
     if form == "text":
         text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
         line = F.concat("episode_id", F.lit("\t"), F.col("seg_no").cast("string"), F.lit("\t["), F.col("start_ms").cast("string"), F.lit("-"), F.col("end_ms").cast("string"), F.lit("] "), text)
@@ -76,7 +76,7 @@ def notes_table(spark: SparkSession, path: str) -> MergedTable:
 
 def write_notes(notes: DataFrame, path: str, most_rows: int = 10_000) -> None:
     """Merges NOTES into the JSON lines at the path, one folder for each feed: an episode's older note is replaced, all others stay."""
-    notes_table(notes.sparkSession, path).merge(newest(notes, schemas.KEY), most_rows)
+    notes_table(notes.sparkSession, path).merge(notes, most_rows)
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:

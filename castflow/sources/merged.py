@@ -14,7 +14,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from castflow.functions.storage import Staged, empty, stored
@@ -25,11 +25,12 @@ MANIFEST = "feed_id string, run string, version long"
 class MergedTable:
     """A table with feed_id, in one folder for each feed; the rows of one key are replaced together.
 
-    form: of the files, json or text (one column ``value``).  The key's columns are among the table's, or ``keyed`` adds them.  feed_id is never null.
+    form: of the files, json or text (one column ``value``), compressed.  The key's columns are among the table's, or ``keyed`` adds them.  unique: what
+    names a row within a run (the key, if not given).  feed_id is never null.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str], form: str = "json", keyed: Callable[[DataFrame], DataFrame] = lambda df: df):
-        self.spark, self.path, self.key, self.form, self.keyed = spark, path.rstrip("/"), key, form, keyed
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str], form: str = "json", keyed: Callable[[DataFrame], DataFrame] = lambda df: df, unique: list[str | Column] | None = None):
+        self.spark, self.path, self.key, self.form, self.keyed, self.unique = spark, path.rstrip("/"), key, form, keyed, unique or key
         self.schema = ("value string, feed_id string" if form == "text" else schema) + ", run string"
 
     def _current(self) -> tuple[DataFrame, int]:
@@ -49,17 +50,19 @@ class MergedTable:
     def merge(self, rows: DataFrame, most_rows: int = 10_000) -> None:
         """Puts the rows in the place of those with the same key; the other rows of their feeds, and all other feeds, stay.
 
-        Rows of one key within one run stay together; which of them should count is the caller's to settle.  No rows: nothing changes.
+        Of rows that a run has twice the last by the text of its columns counts, so always the same.  No rows: nothing changes.
         """
         current, last = self._current()
         run = uuid.uuid4().hex
         with Staged(self.spark) as staged:
             rows = staged.save(rows, "merge")
+            if rows.groupBy(*self.unique).count().where("count > 1").take(1):
+                rows = staged.save(_newest(rows, self.unique), "merge")
             touched = rows.select("feed_id").distinct()
             old = self._rows(current.join(touched, "feed_id", "left_semi"))
             kept = self.keyed(old).join(self.keyed(rows).select(*self.key).distinct(), self.key, "left_anti").select(*old.columns)
             whole = kept.unionByName(rows.select(*old.columns)).hint("rebalance", "feed_id")  # large feeds are split over tasks
-            whole.write.partitionBy("feed_id").option("maxRecordsPerFile", most_rows).format(self.form).save(f"{self.path}/data/run={run}")
+            whole.write.partitionBy("feed_id").option("maxRecordsPerFile", most_rows).option("compression", "gzip").format(self.form).save(f"{self.path}/data/run={run}")
             self._commit(touched, run, last + 1)
 
     def _commit(self, touched: DataFrame, run: str, version: int) -> None:
@@ -80,7 +83,6 @@ class MergedTable:
         return len(gone)
 
 
-def newest(rows: DataFrame, key: list[str]) -> DataFrame:
-    """One row for each key: of repeated ones the last by the text of its columns, so always the same."""
-    w = Window.partitionBy(*key).orderBy(F.desc(F.to_json(F.struct(*rows.columns))))
+def _newest(rows: DataFrame, unique: list[str | Column]) -> DataFrame:
+    w = Window.partitionBy(*unique).orderBy(F.desc(F.to_json(F.struct(*rows.columns))))
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
