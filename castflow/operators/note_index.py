@@ -1,14 +1,16 @@
 """A stored index of notes by word: what a search reads are the asked words' buckets, not the notes.
 
-    path/words/bucket=<b>/batch_id=<n>/...   (word, feed_id, episode_id, content), sorted by word: where the notes of batch n hold it
-    path/notes/batch_id=<n>/...              (feed_id, episode_id, content): the notes of batch n, content being a hash of the text
+    path/words/bucket=<b>/run=<r>/...   (word, note), sorted by word: which notes of a run hold it, by their numbers in the run
+    path/notes/batch_id=<n>/...         (feed_id, episode_id, content, run, note): the notes of batch n and its run, content being a hash of the text
 
 A batch adds the notes that are new or have changed.  A note that comes again with other text leaves its old rows behind, which count no more: a
-row counts if it is of its note's last batch and text.
+row counts if a note's last batch names its run and number.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ from castflow.functions.text import words
 from castflow.operators.notes import QUERY_PARTS
 from castflow.schemas import KEY
 
-WORDS = "word string, feed_id string, episode_id string, content long, bucket int, batch_id long"
-NOTES = "feed_id string, episode_id string, content long, batch_id long"
+WORDS = "word string, note long, bucket int, run long"
+NOTES = "feed_id string, episode_id string, content long, run long, note long, batch_id long"
 #: Up to so many asked words are named in the scan's filter.
 NAMED_WORDS = 1000
 
@@ -33,28 +35,29 @@ class NoteIndex:
         return F.pmod(F.xxhash64("word"), F.lit(self.buckets)).cast("int")
 
     def notes(self) -> DataFrame:
-        """(feed_id, episode_id, content, batch_id): the last batch of each note."""
+        """(feed_id, episode_id, content, run, note, batch_id) of each note as it was added last."""
         all_ = stored(self.spark, "parquet", NOTES, f"{self.path}/notes")
-        return all_.groupBy(*KEY).agg(F.max_by("content", "batch_id").alias("content"), F.max("batch_id").alias("batch_id"))
+        last = F.max_by(F.struct("content", "run", "note", "batch_id"), "batch_id").alias("n")
+        return all_.groupBy(*KEY).agg(last).select(*KEY, "n.*")
 
     def add(self, notes: DataFrame) -> None:
         """Adds the notes(feed_id, episode_id, markdown) that are not there with the same text.  One batch is added at a time.
 
-        The list of notes is written last: a batch that is broken off before counts for nothing, and the next one takes its number; rows that are left of it name other texts, or are replaced.
+        The list of notes is written last: nothing of a batch that is broken off before counts, as no list names its run.
         """
-        known = self.notes()
+        known, run = self.notes(), uuid.uuid4().int >> 65
         batch_id = (known.agg(F.max("batch_id")).first()[0] or 0) + 1
         with Staged(self.spark) as staged:
             fresh = notes.select(*KEY, "markdown", F.xxhash64(F.coalesce("markdown", F.lit(""))).alias("content"))
-            fresh = staged.save(fresh.join(known.select(*KEY, "content"), [*KEY, "content"], "left_anti"), "index")
-            rows = fresh.select(F.explode(words(F.coalesce("markdown", F.lit("")))).alias("word"), *KEY, "content").withColumns({"bucket": self._bucket(), "batch_id": F.lit(batch_id).cast("long")})
-            even = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "batch_id", "word")
-            to = even.write.partitionBy("bucket", "batch_id").option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#word", "true")
-            to.mode("overwrite").parquet(f"{self.path}/words")
-            self._list(fresh, batch_id)
+            fresh = fresh.join(known.select(*KEY, "content"), [*KEY, "content"], "left_anti")
+            fresh = staged.save(fresh.withColumn("note", F.monotonically_increasing_id()), "index")
+            rows = fresh.select(F.explode(words(F.coalesce("markdown", F.lit("")))).alias("word"), "note").withColumns({"bucket": self._bucket(), "run": F.lit(run)})
+            even = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "run", "word")
+            even.write.partitionBy("bucket", "run").option("parquet.bloom.filter.enabled#word", "true").mode("append").parquet(f"{self.path}/words")
+            self._list(fresh.select(*KEY, "content", F.lit(run).alias("run"), "note"), batch_id)
 
     def _list(self, fresh: DataFrame, batch_id: int) -> None:
-        fresh.select(*KEY, "content").write.mode("overwrite").parquet(f"{self.path}/notes/batch_id={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{self.path}/notes/batch_id={batch_id}")
 
     def postings(self, asked: DataFrame) -> DataFrame:
         """The rows of the words(word) that are asked: of their buckets alone, and by name where they are few."""
@@ -67,8 +70,8 @@ class NoteIndex:
         """(query_id, feed_id, episode_id, hits, rank): as ``notes.search_notes`` over all notes that were added."""
         asked = queries.select("query_id", F.explode(words("text")).alias("word"))
         by_word = asked.groupBy(F.col("word"), F.pmod(F.xxhash64("query_id"), F.lit(QUERY_PARTS)).alias("part")).agg(F.collect_set("query_id").alias("_asked"))
-        rows = self.postings(asked).join(by_word, "word").select(*KEY, "content", "batch_id", F.explode("_asked").alias("query_id"))
-        hits = rows.groupBy("query_id", *KEY, "content", "batch_id").agg(F.count("*").alias("hits"))
-        live = hits.join(self.notes(), [*KEY, "content", "batch_id"], "left_semi").select("query_id", *KEY, "hits")
+        rows = self.postings(asked).join(by_word, "word").select("run", "note", F.explode("_asked").alias("query_id"))
+        hits = rows.groupBy("query_id", "run", "note").agg(F.count("*").alias("hits"))  # keys of a few bytes
+        live = hits.join(self.notes().select("run", "note", *KEY), ["run", "note"]).select("query_id", *KEY, "hits")
         w = Window.partitionBy("query_id").orderBy(F.desc("hits"), *KEY)
         return live.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
