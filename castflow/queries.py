@@ -213,12 +213,12 @@ def increment_stream(spark, sf_dir):
 
 @query(f"WITH {EP} SELECT feed_id, episode_id, l.doc_id IS NULL AS late, CAST(1 AS BIGINT) AS n FROM ep LEFT JOIN labels l USING (doc_id)")
 def increment_compacted(spark, sf_dir):
-    """The labelled episodes, then all, then all again, each batch run twice and all buckets put together between them."""
-    state, eps, buckets = scratch(spark, "buckets"), X.episodes(spark, sf_dir), 4
-    docs = [X.feed_docs(part) for part in (eps.join(X.labelled(spark, sf_dir), KEY, "left_semi"), eps, eps)]
-    for batch_id, some in enumerate(docs):
-        for _ in range(2):
-            run_batch(some, batch_id, state, buckets)
+    """The labelled episodes, then all, the second batch run twice, and all buckets put together after each."""
+    state, drops, eps, buckets = scratch(spark, "buckets"), scratch(spark, "drops"), X.episodes(spark, sf_dir), 4
+    for batch_id, some in enumerate((eps.join(X.labelled(spark, sf_dir), KEY, "left_semi"), eps)):
+        X.feed_docs(some).write.parquet(f"{drops}/{batch_id}")
+        for _ in range(batch_id + 1):
+            run_batch(spark.read.parquet(f"{drops}/{batch_id}"), batch_id, state, buckets)
         for bucket in range(buckets):
             seen_table(spark, state, buckets).compact(bucket)
     keys = seen_table(spark, state, buckets).all().select(*KEY).distinct()

@@ -27,7 +27,7 @@ def run_batch(docs: DataFrame, batch_id: int, state_path: str, buckets: int = 25
     spark, seen = docs.sparkSession, seen_table(docs.sparkSession, state_path, buckets)
     path = f"{state_path.rstrip('/')}/episodes/batch_id={batch_id}"
     pulled = parse_feed_bytes(docs) if "content" in docs.columns else parse_feeds(docs)
-    seen.new(dedupe_episodes(pulled), batch_id).write.mode("overwrite").parquet(path)
+    seen.new(dedupe_episodes(pulled), batch_id, docs).write.mode("overwrite").parquet(path)
     seen.add(stored(spark, "parquet", schemas.EPISODES, path), batch_id)
 
 

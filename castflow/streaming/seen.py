@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castflow.functions.storage import empty, stored
-from castflow.operators.increment import new_episodes
 from castflow.schemas import KEY
 
 SCHEMA = "feed_id string, episode_id string, bucket int, batch_id long"
@@ -44,18 +43,22 @@ class SeenTable:
     def all(self) -> DataFrame:
         return self._live(self._stored())
 
-    def among(self, pulled: DataFrame) -> DataFrame:
-        """The keys that may be those of the pull: of its buckets, and of its feeds where they are few.  Reads the pull's feeds."""
-        feeds = pulled.select("feed_id").distinct()
+    def among(self, feeds: DataFrame) -> DataFrame:
+        """The keys that may be those of a pull of these feeds(feed_id): of their buckets, and of them by name where they are few."""
+        feeds = feeds.select("feed_id").distinct()
         buckets = [r.b for r in feeds.select(self.bucket().alias("b")).distinct().collect()]  # at most all buckets
         some = [r.feed_id for r in feeds.take(NAMED_FEEDS + 1)]
         found = self._live(self._stored().where(F.col("bucket").isin(buckets)))
         return found.where(F.col("feed_id").isin(some)) if len(some) <= NAMED_FEEDS else found
 
-    def new(self, pulled: DataFrame, batch_id: int | None = None) -> DataFrame:
-        """The pull's episodes that were never seen, or only by the batch itself, which is run again."""
-        seen = self.among(pulled)
-        return new_episodes(pulled, seen if batch_id is None else seen.where(F.col("batch_id") != batch_id))
+    def new(self, pulled: DataFrame, batch_id: int | None = None, feeds: DataFrame | None = None) -> DataFrame:
+        """The pull's episodes that were never seen, or only by the batch itself, which is run again.
+
+        feeds: a table that has the pull's feed_ids and costs less to read than the pull.
+        """
+        seen = self.among(pulled if feeds is None else feeds)
+        seen = seen if batch_id is None else seen.where(F.col("batch_id") != batch_id)
+        return pulled.join(seen.select(*KEY), KEY, "left_anti")
 
     def add(self, keys: DataFrame, batch_id: int) -> None:
         """Adds the keys of a batch (0 or more), in place of those that an earlier try of it left."""
