@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castflow import fixtures as X
-from castflow.functions.storage import scratch
+from castflow.functions.storage import empty, scratch
 from castflow.operators import download, enrich, increment, note_index, notes, request_log, review, subscribe, transcripts, work
 from castflow.plans import notes_flow
 from castflow.schemas import KEY
@@ -219,6 +219,7 @@ def increment_compacted(spark, sf_dir):
         X.feed_docs(some).write.parquet(f"{drops}/{batch_id}")
         for _ in range(batch_id + 1):
             run_batch(spark.read.parquet(f"{drops}/{batch_id}"), batch_id, state, buckets)
+        empty(spark, f"{drops}/{batch_id}")
         for bucket in range(buckets):
             seen_table(spark, state, buckets).compact(bucket)
     keys = seen_table(spark, state, buckets).all().select(*KEY).distinct()
