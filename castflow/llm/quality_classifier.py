@@ -1,22 +1,22 @@
 """Quality classifier: logistic regression over hashed word n-grams, fitted by FTRL-proximal updates.
 
 Tokens are runs of letters, of digits or of other marks, with their case.  A text's features are its distinct
-n-grams of 1 to ``ngrams`` tokens, and one more if a token follows itself, hashed to ``bits`` bits, with equal weights of length 1.  Labels, ids, sources and languages are no
-features.  The fit reads at most ``max_rows`` labelled rows, taken by a hash of their id; scoring is one
-sparse dot product for each text, over the whole of it.
+n-grams of 1 to ``ngrams`` tokens, hashed to ``bits`` bits, with equal weights of length 1.  Labels, ids, sources and languages are no
+features.  The fit reads at most ``max_rows`` labelled rows of at most ``max_features`` features together, taken by a hash of their id;
+scoring is one sparse dot product for each text, over the whole of it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from castflow.llm import common as C
 
-#: Bound on the labelled rows that the fit reads; their features are all that the driver holds of the corpus.
-MAX_ROWS = 6000
+#: Bounds on the labelled rows that the fit reads and on their features, 4 bytes each, which are all that the driver holds of the corpus.
+MAX_ROWS, MAX_FEATURES = 6000, 1 << 25
 BITS, NGRAMS = 18, 2
 #: Bytes that begin a new token where they change: letters (with all of UTF-8's longer characters), digits, white space, others.
 _KIND = np.full(256, 3, np.uint8)
@@ -54,10 +54,6 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, ngrams: in
         whole = rows[: len(total)] == rows[k - 1 :]
         found.append((C.mix(total + C.salt(50 + k)) >> np.uint64(64 - bits))[whole])
         of.append(rows[: len(total)][whole])
-    if len(hashes) > 1:  # any token that follows itself is one feature, whatever the token
-        again = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
-        found.append(np.full(int(again.sum()), C.salt(60) >> np.uint64(64 - bits), np.uint64))
-        of.append(rows[1:][again])
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     both = np.unique((np.concatenate(of).astype(np.uint64) << np.uint64(bits)) | np.concatenate(found))
@@ -88,14 +84,15 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: fl
     return weight(z, n), float(-zb / ((beta + np.sqrt(nb)) / alpha))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, float]:
     """(weights, bias) from docs(doc_id, text) with a label of 0 or 1 in labels(doc_id, label).
 
-    Null labels and ids are left out; of an id's labels the largest counts.  No labelled row at all gives weights of 0.
+    Null labels and ids are left out; of an id's labels the largest counts, of its texts the least.  Rows are read in the order of their
+    ids' hashes, as far as their features are max_features together.  No labelled row at all gives weights of 0.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batch):
         data, offsets = C.texts_of(batch.column("text"))
@@ -103,7 +100,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
             found, of = features(some, at)
             yield pa.record_batch([batch.column("doc_id")[row:end], batch.column("y")[row:end], C.lists(found.astype(np.int32), np.bincount(of, minlength=end - row))], ["doc_id", "y", "features"])
 
-    got = C.per_batch(rows, run, "doc_id long, y int, features array<int>").toArrow()
+    with C.Scratch(docs.sparkSession) as held:
+        found = held.save(C.per_batch(rows, run, "doc_id long, y int, features array<int>"), "features")
+        # at most max_rows rows of two numbers come here
+        used = F.sum(F.col("n") + 1).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+        fits = found.select("doc_id", F.size("features").alias("n")).withColumn("used", used).where(F.col("used") <= max_features).select("doc_id")
+        got = found.join(F.broadcast(fits), "doc_id").toArrow()
     if not got.num_rows:
         return np.zeros(1 << BITS), 0.0
     ids = got.column("doc_id").to_numpy()

@@ -123,16 +123,31 @@ def test_classifier_learns_and_scores_all(spark, odd_docs):
     assert quality_classifier.fit(docs, labels.limit(0))[1] == 0.0
 
 
+def test_classifier_fits_within_its_bounds(spark):
+    """Rows go to the fit by the hash of their id while their features are few enough; an id that stands often counts once."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(1 + i % 50))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    size = {i: len(quality_classifier.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]) + 1 for i, t in rows}
+    few = order[:20]
+    bounded = quality_classifier.fit(docs, labels, max_features=sum(size[i] for i in few))
+    alone = quality_classifier.fit(docs.where(F.col("doc_id").isin(few)), labels)
+    again = quality_classifier.fit(docs.unionByName(docs).repartition(7), labels, max_features=sum(size[i] for i in few))
+    for other in (alone, again):
+        assert np.allclose(bounded[0], other[0]) and np.isclose(bounded[1], other[1])
+    assert not quality_classifier.fit(docs, labels, max_features=0)[0].any()
+
+
 def plain_features(texts, bits=quality_classifier.BITS):
-    """Per text the sorted set of hashed 1- and 2-grams and of the repeat, by the module's hash of each n-gram on its own."""
+    """Per text the sorted set of hashed 1- and 2-grams, by the module's hash of each n-gram on its own."""
     one = lambda t: quality_classifier.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), bits)[0].tolist()
     out = []
     for t in texts:
         tokens = re.findall(r"[A-Za-z\u0080-\U0010ffff]+|[0-9]+|[^\sA-Za-z0-9\u0080-\U0010ffff]+", t)
         first = {w: one(w)[0] for w in set(tokens)}
-        pairs = {b for x, y in zip(tokens, tokens[1:]) for b in set(one(f"{x} {y}")) - {first[x], first[y]} - {int(common.salt(60) >> np.uint64(64 - bits))}}
-        again = {int(common.salt(60) >> np.uint64(64 - bits))} if any(x == y for x, y in zip(tokens, tokens[1:])) else set()
-        out.append(sorted(set(first.values()) | pairs | again))
+        pairs = {b for x, y in zip(tokens, tokens[1:]) for b in set(one(f"{x} {y}")) - {first[x], first[y]}}
+        out.append(sorted(set(first.values()) | pairs))
     return out
 
 
