@@ -286,8 +286,8 @@ def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 # --- graphs ------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable by the edges (a, b); ids without an edge are absent.
+def components(edges: DataFrame, keep: Scratch) -> DataFrame:
+    """(id, component): the smallest id reachable by the edges (a, b); ids without an edge are absent.  ``keep`` holds the table.
 
     Alternating large-star and small-star steps.  Only minima are aggregated and joined back, so no
     task ever gathers the neighbours of an id; each step's edges are written to the shared folder.
@@ -313,11 +313,11 @@ def components(edges: DataFrame) -> DataFrame:
             if seen == mark:
                 break
             mark = seen
-        return save(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
+        return keep.save(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
 
 
-def link_cells(cells: DataFrame, measure: Callable[[DataFrame], DataFrame], central: str, admits: Callable[[str, str], Column], radius: float | None = None, closes: Callable[[DataFrame], DataFrame] = lambda open_: open_, more_pivots: int = 16) -> DataFrame:
-    """Links (a, b) that connect all that is linked within any cell: connectivity is exact, not every link is listed.
+def link_cells(cells: DataFrame, keep: Scratch, measure: Callable[[DataFrame], DataFrame], central: str, admits: Callable[[str, str], Column], radius: float | None = None, closes: Callable[[DataFrame], DataFrame] = lambda open_: open_, more_pivots: int = 16) -> DataFrame:
+    """Links (a, b) that connect all that is linked within any cell: connectivity is exact, not every link is listed.  ``keep`` holds the table.
 
     cells: (cell, id, ...), distinct; its other columns are properties of an id in a cell.  measure: pairs (a, b, ca, cb) to
     the same rows with ``dist`` and ``linked``; pairs it leaves out are not linked.  In each round a cell's most central members (the least
@@ -347,7 +347,7 @@ def link_cells(cells: DataFrame, measure: Callable[[DataFrame], DataFrame], cent
             found = measured.where("linked")
             label = hop = None
             if not is_empty(found):
-                links.append(save(found.select("a", "b"), "links"))
+                links.append(held.save(found.select("a", "b"), "links"))
                 # two hops towards the least label: equal labels are connected, and that is all a round needs to know
                 both = found.select(F.col("ca").alias("c"), F.col("cb").alias("to")).unionByName(found.select(F.col("cb").alias("c"), F.col("ca").alias("to")))
                 hop = held.save(both.groupBy("c").agg(F.min("to").alias("to")).select("c", F.least("c", "to").alias("to")), "labels")
@@ -366,22 +366,22 @@ def link_cells(cells: DataFrame, measure: Callable[[DataFrame], DataFrame], cent
         out = now.select(F.col("id").alias("a"), F.col("id").alias("b"))
         for one in links:
             out = out.unionByName(one)
-        return save(out, "links")
+        return keep.save(out, "links")
 
 
 # --- ranks -------------------------------------------------------------------------------------
 
 
-def ranked(df: DataFrame, keys: list[Column], order: list[Column], name: str, weight: str | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: list[Column], order: list[Column], keep: Scratch, weight: str | None = None) -> DataFrame:
     """df with ``rank``, its gapless place from 0 within the keys, and with a weight the sum before it as ``before``.
 
     Rows are range-partitioned and sorted; only one count for each part and key is gathered by key.
-    The sorted table is written first, so that places and counts come from the same rows.
+    The sorted table is written first, so that places and counts come from the same rows; ``keep`` holds it.
     """
     key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.struct(F.lit(0).alias("k0"))
     df = df.withColumn("_key", key)
     rows = df.repartitionByRange(*[F.col("_key"), *order]).sortWithinPartitions(F.col("_key"), *order)
-    rows = save(rows.withColumn("_at", F.monotonically_increasing_id()), name).withColumn("_part", F.shiftright("_at", 33))
+    rows = keep.save(rows.withColumn("_at", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_at", 33))
     amount = F.col(weight) if weight else F.lit(1)
     per = rows.groupBy("_key", "_part").agg(F.count("*").alias("_n"), F.sum(amount).cast("long").alias("_w"), F.min("_at").alias("_first"))
     w = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

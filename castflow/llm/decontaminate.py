@@ -146,10 +146,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, least:
     slices = max(1, -(-items.count() // MAX_ITEMS))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text"))
     found = None
-    numbered = C.save(C.ranked(items, [], [F.col("item_id"), F.col("text")], "items").select("rank", "item_id", "text"), "items")
-    for k in range(slices):
-        some = numbered.where((F.col("rank") >= k * MAX_ITEMS) & (F.col("rank") < (k + 1) * MAX_ITEMS))
-        index = Index([(r.item_id, r.text) for r in some.select("item_id", "text").collect()], shingle_words)  # at most MAX_ITEMS rows
+    with C.Scratch(docs.sparkSession) as held:
+        numbered = held.save(C.ranked(items, [], [F.col("item_id"), F.col("text")], held).select("rank", "item_id", "text"), "items")
+        parts = [numbered.where((F.col("rank") >= k * MAX_ITEMS) & (F.col("rank") < (k + 1) * MAX_ITEMS)) for k in range(slices)]
+        indexes = [Index([(r.item_id, r.text) for r in some.select("item_id", "text").collect()], shingle_words) for some in parts]  # at most MAX_ITEMS rows each
+    for index in indexes:
 
         def run(batch, index=index):
             data, offsets = C.texts_of(batch.column("text"))

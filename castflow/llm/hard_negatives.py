@@ -257,7 +257,7 @@ def hard_negatives(rows: DataFrame, anchor: Column, n_positives: int = 5, n_nega
             vectors = once
         dims, most = statistics(vectors)
         size = max(1, min(ANCHORS, VALUES // max(1, len(dims))))
-        ranked = C.ranked(vectors.where(anchor).select("vec_id"), [], [F.col("vec_id")], "anchors")
+        ranked = C.ranked(vectors.where(anchor).select("vec_id"), [], [F.col("vec_id")], held)
         blocks = held.save(ranked.select("vec_id", F.floor(F.col("rank") / size).alias("block")), "blocks")
         for block in range((blocks.agg(F.max("block")).first()[0] or 0) + 1 if not C.is_empty(blocks) else 0):
             got = vectors.join(blocks.where(F.col("block") == block).select("vec_id"), "vec_id").toArrow().combine_chunks()

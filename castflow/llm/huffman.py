@@ -202,18 +202,19 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> None:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # texts move once, before they are encoded; sampling for the ranges would encode them twice afterwards
-    ids = C.save(encoded(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), vocabulary, end_id), "ids")
-    counts = C.save(count_ids(ids), "id-counts").toPandas()  # at most one row for each id of the vocabulary
-    total = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
-    total[counts["id"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
-    lengths = code_lengths(total)
-    some = np.flatnonzero(lengths)
-    spark.createDataFrame(pa.table({"id": some, "length": lengths[some]})).coalesce(1).write.parquet(f"{path}/codes")
-    blocks(ids, lengths).write.option("compression", "none").parquet(f"{path}/blocks")
-    sizes = ids.groupBy("part").agg(F.sum("n").alias("n"))  # one row for each part
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start")).write.parquet(f"{path}/parts")
+    with C.Scratch(spark) as held:
+        # texts move once, before they are encoded; sampling for the ranges would encode them twice afterwards
+        ids = held.save(encoded(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), vocabulary, end_id), "ids")
+        counts = held.save(count_ids(ids), "id-counts").toPandas()  # at most one row for each id of the vocabulary
+        total = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
+        total[counts["id"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
+        lengths = code_lengths(total)
+        some = np.flatnonzero(lengths)
+        spark.createDataFrame(pa.table({"id": some, "length": lengths[some]})).coalesce(1).write.parquet(f"{path}/codes")
+        blocks(ids, lengths).write.option("compression", "none").parquet(f"{path}/blocks")
+        sizes = ids.groupBy("part").agg(F.sum("n").alias("n"))  # one row for each part
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start")).write.parquet(f"{path}/parts")
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

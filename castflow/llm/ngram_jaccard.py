@@ -210,11 +210,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             one = F.col("total") - F.col("common")
             return both.select("a", "b", "ca", "cb", (1 - F.col("common") / one).alias("dist"), (F.col("common") * den >= one * num).alias("linked")).distinct()
 
-        links = C.link_cells(crowded, measure, "pos", _admits(num, den), 1 - num / den, _closes(num, den))
+        links = C.link_cells(crowded, held, measure, "pos", _admits(num, den), 1 - num / den, _closes(num, den))
         # the sets of rows that repeat a doc_id are linked through it
         twice = real.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("b")).where("a < b").select("doc_id", "a")
         twice = real.join(twice, "doc_id").select("a", F.col("set").alias("b"))
-        found = C.components(links.unionByName(twice)).select(F.col("id").alias("set"), F.col("component").alias("of"))
+        found = C.components(links.unionByName(twice), held).select(F.col("id").alias("set"), F.col("component").alias("of"))
         whole = classes.join(found, "set", "left").withColumn("of", F.coalesce("of", "set"))
         whole = whole.join(whole.groupBy("of").agg(F.min("class_id").alias("component_id")), "of").select("set", "f2", "n_shingles", "class_id", "component_id")
         ids = prints.withColumnRenamed("f1", "set").join(whole, ["set", "f2", "n_shingles"], "left")

@@ -20,7 +20,7 @@ BUCKETS = 1024
 GRAIN = 64
 
 
-def _propagate(linked: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
+def _propagate(linked: DataFrame, shards: int, quota: int, rounds: int, scratch: C.Scratch) -> DataFrame:
     """linked (doc, group, size of group, shard) after the rounds, no shard above the quota unless it began so."""
     spark = linked.sparkSession
     for _ in range(rounds):
@@ -34,7 +34,7 @@ def _propagate(linked: DataFrame, shards: int, quota: int, rounds: int) -> DataF
         # documents only move to where more of their group are, or as many in a lower shard
         wants = (F.col("target") != F.col("shard")) & ((F.col("there") > F.col("n")) | ((F.col("there") == F.col("n")) & (F.col("target") < F.col("shard"))))
         who = F.when(F.col("size") * GRAIN > quota, F.xxhash64("doc")).otherwise(F.xxhash64("group"))
-        asked = C.save(here.select("doc", "group", "size", "shard", F.when(wants, F.col("target")).alias("target"), F.pmod(who, F.lit(BUCKETS)).cast("int").alias("bucket")), "asked")
+        asked = scratch.save(here.select("doc", "group", "size", "shard", F.when(wants, F.col("target")).alias("target"), F.pmod(who, F.lit(BUCKETS)).cast("int").alias("bucket")), "asked")
         requests = asked.where("target is not null").groupBy("target", "bucket").count().collect()  # at most shards * BUCKETS rows
         limit = [0] * shards
         for s in range(shards):
@@ -43,7 +43,8 @@ def _propagate(linked: DataFrame, shards: int, quota: int, rounds: int) -> DataF
                 left -= per.get(limit[s], 0)
                 limit[s] += 1
         granted = F.col("bucket") < F.element_at(F.array(*[F.lit(x) for x in limit]), F.col("target") + 1)
-        linked = C.save(asked.select("doc", "group", "size", F.when(F.col("target").isNotNull() & granted, F.col("target")).otherwise(F.col("shard")).alias("shard")), "shards")
+        before, linked = linked, scratch.save(asked.select("doc", "group", "size", F.when(F.col("target").isNotNull() & granted, F.col("target")).otherwise(F.col("shard")).alias("shard")), "shards")
+        scratch.drop(before, asked)
         if not requests or not any(limit[r[0]] > r[1] for r in requests):
             break
     return linked
@@ -58,17 +59,18 @@ def balanced(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("group"))
-    rows = C.save(rows.withColumn("doc", F.monotonically_increasing_id()), "documents")
-    total = rows.count()
-    quota = total // shards
-    start = F.pmod(F.xxhash64("doc_id", "group"), F.lit(shards)).cast("int").alias("shard")
-    groups = rows.groupBy("group").agg(F.count("*").alias("of")).where("of > 1")
-    linked = C.save(rows.join(groups, "group").select("doc", "group", F.col("of").alias("size"), start), "shards")
-    moved = _propagate(linked, shards, quota, rounds).select("doc", F.col("shard").alias("to"))
-    placed = rows.withColumn("start", start).join(moved, "doc", "left")
-    placed = placed.select("doc_id", "size", "text_crc32", F.col("group").alias("group_id"), F.coalesce("to", "start").alias("at"), F.col("to").isNull().alias("alone"))
-    # linked documents come first in a shard's order, so surplus rows are unlinked ones as long as there are any
-    ranks = C.save(C.ranked(placed, [F.col("at")], [F.col("alone"), F.xxhash64("group_id"), F.col("doc_id")], "ranks"), "ranks")
+    with C.Scratch(docs.sparkSession) as scratch:
+        rows = scratch.save(rows.withColumn("doc", F.monotonically_increasing_id()), "documents")
+        total = rows.count()
+        quota = total // shards
+        start = F.pmod(F.xxhash64("doc_id", "group"), F.lit(shards)).cast("int").alias("shard")
+        groups = rows.groupBy("group").agg(F.count("*").alias("of")).where("of > 1")
+        linked = scratch.save(rows.join(groups, "group").select("doc", "group", F.col("of").alias("size"), start), "shards")
+        moved = _propagate(linked, shards, quota, rounds, scratch).select("doc", F.col("shard").alias("to"))
+        placed = rows.withColumn("start", start).join(moved, "doc", "left")
+        placed = placed.select("doc_id", "size", "text_crc32", F.col("group").alias("group_id"), F.coalesce("to", "start").alias("at"), F.col("to").isNull().alias("alone"))
+        # linked documents come first in a shard's order, so surplus rows are unlinked ones as long as there are any
+        ranks = C.save(C.ranked(placed, [F.col("at")], [F.col("alone"), F.xxhash64("group_id"), F.col("doc_id")], scratch), "ranks")
     held = {r[0]: r[1] for r in ranks.groupBy("at").count().collect()}  # one row for each shard
     # the larger counts go to the shards that hold the most
     most = sorted(range(shards), key=lambda s: (-held.get(s, 0), s))[: total % shards]

@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
         classes = held.save(real.groupBy("print").agg(F.min("doc_id").alias("class_id")), "classes")
         twice = real.groupBy("doc_id").agg(F.min("print").alias("a"), F.max("print").alias("b")).where("a < b").select("doc_id", "a")
         twice = real.join(twice, "doc_id").select("a", F.col("print").alias("b"))
-        found = C.components(links(classes.select("print"), held).unionByName(twice)).select(F.col("id").alias("print"), F.col("component").alias("of"))
+        found = C.components(links(classes.select("print"), held).unionByName(twice), held).select(F.col("id").alias("print"), F.col("component").alias("of"))
         whole = classes.join(found, "print", "left").withColumn("of", F.coalesce("of", "print"))
         whole = whole.join(whole.groupBy("of").agg(F.min("class_id").alias("component_id")), "of").select("print", "class_id", "component_id")
         ids = prints.join(whole, "print", "left")

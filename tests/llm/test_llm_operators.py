@@ -106,7 +106,7 @@ def test_jaccard_on_odd_tables(spark, odd_docs):
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
-    got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark)).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 140)}
 
 
