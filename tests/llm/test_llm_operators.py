@@ -582,3 +582,12 @@ def test_secret_scan(spark, odd_docs):
     assert [kinds(more[i].spans) for i in range(4)] == [{}, {"account": 1, "assign": 1, "hex": 1, "endpoint": 1}, {"assign": 1}, {"hex": 1, "account": 1, "key_part": 1}]
     assert kinds(more[4].spans) == {"assign": 1} and more[4].n_assign == 1  # the accounts stand too far off
     assert secret_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_decontamination_with_clashing_columns(spark):
+    item = "which of the seven lakes in the north was formed last by the melting ice"
+    docs = spark.createDataFrame([(1, f"intro words {item} and more", 5, "a", 2), (2, "nothing of the kind stands here at all", 6, "b", 3)], "doc_id long, text string, item_id long, similarity string, rank int")
+    benchmark = spark.createDataFrame([(7, item, 2, "x", 1, 0.5)], "item_id long, text string, doc_id long, source string, rank int, similarity double")
+    assert [(r.doc_id, r.item_id, r.similarity, r.start_word) for r in decontaminate.leaks(docs, benchmark).collect()] == [(1, 7, 1.0, 2)]
+    left = decontaminate.without_leaks(docs, benchmark)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "nothing of the kind stands here at all", 6, "b", 3)]
