@@ -359,6 +359,30 @@ def test_line_dedup_recalls_edits(spark):
     assert len(want) > 150 and got <= {2 * i + 1 for i in range(len(pairs))} and len(got & want) >= 0.99 * len(want)
 
 
+def test_line_dedup_large_cells_round_by_round(spark, monkeypatch):
+    docs = line_corpus(spark)
+    want = {(r.doc_id, r.pos) for r in line_dedup.removed_lines(docs).collect()}
+    monkeypatch.setattr(line_dedup, "MOST", 2)
+    assert {(r.doc_id, r.pos) for r in line_dedup.removed_lines(docs).collect()} == want
+
+
+def test_line_dedup_tells_a_link_a_line_of_a_group():
+    """Lines of one group, cut at many places, so that the shortest and longest are linked through others only."""
+    base = "".join(np.random.default_rng(4).choice(list("abcdefgh "), 400))
+    texts = [base[: 150 + i % 240] + f"x{i}" for i in range(400)]
+    a, b = line_dedup.cell_links(np.ones(400, np.int64), np.ones((400, 1), np.int64), *line_dedup.points(pa.array(texts)), 0.9)
+    assert len(a) == 399 and len(set(groups(range(400), zip(a.tolist(), b.tolist())).values())) == 1
+
+
+def test_line_dedup_runs_few_jobs(spark):
+    """Each job's plan stays in the driver's memory for a while; rounds over all tasks for every cell made hundreds."""
+    docs = line_corpus(spark)
+    spark.sparkContext.setJobGroup("few-jobs", "")
+    line_dedup.removed_lines(docs)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) < 120
+
+
 def test_line_dedup_of_short_and_unspaced_lines(spark):
     han = "機械学習の評価用問題文は訓練に使わないことを確認する手順"
     thai = "ขอให้ทุกคนมีความสุขมากในวันนี้และวันต่อไป"
